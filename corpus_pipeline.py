@@ -1,3 +1,70 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, line dedup, near-dedup, mixing, byte-level BPE.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sondera.llm import bpe, linededup, mixing, neardup, quality
+from sondera.llm.common import shared_folder, table
+from sondera.llm.queries import tokenizer
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of good quality reaches the threshold."""
+    scored = quality.quality(docs, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated chunks of lines; those of which nothing is left go, as all they held is elsewhere."""
+    out = linededup.line_dedup(docs).where((F.col("__chunks_cut") == 0) | F.col("text").rlike(r"\S"))
+    n_chars = F.when(F.col("__chunks_cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest doc_id, of each class of near-duplicates; documents without doc_id stay."""
+    classes = neardup.near_duplicate_classes(docs.select("doc_id", "text"))
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture: files and the rows in them follow it."""
+    return mixing.mixed_order(spark, docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's ids, how many, and the digests of the ids and of the bytes they decode to."""
+    ranks, pattern = tokenizer()
+    encoded = bpe.encode(docs.select("doc_id", "text"), ranks, pattern)
+    return bpe.digests(encoded, ranks, keep_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("mixing sources to target weights", source_mixing),
+    ("byte-level BPE encoding and decoding", byte_bpe),
+]
+
+#: The classifier, the rolling hashes and the fingerprints are not SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -15,22 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sondera-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
-def all_equal_or_null(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def parallelism(spark: SparkSession) -> int:
