@@ -227,6 +227,8 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     stored = index.postings.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks").cast("long")).alias("block"), "vec_id", "v")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q_ids, c_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         order = np.argsort(c_ids, kind="stable")
         c = _matrix(right["v"])[0].reshape(-1, dim)[order]

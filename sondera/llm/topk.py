@@ -55,7 +55,9 @@ def best_of(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) ->
 
 def cell_top(queries: pa.Table, shard: pa.Table, k: int) -> pd.DataFrame:
     """Each query's ``k`` best of one shard, tile by tile; vectors of another length than the query's are no candidates."""
-    q_ids, c_ids = queries["id"].to_numpy().astype(np.int64), shard["id"].to_numpy().astype(np.int64)
+    if not queries.num_rows or not shard.num_rows:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    q_ids, c_ids = queries["id"].to_numpy().astype(np.int64), shard["vec_id"].to_numpy().astype(np.int64)
     (q_flat, q_len), (c_flat, c_len) = _matrix(queries["v"]), _matrix(shard["v"])
     q_at, c_at = np.cumsum(q_len) - q_len, np.cumsum(c_len) - c_len
     parts = []
@@ -112,7 +114,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 1024)
     shards = max(ceil_div(sizes["n"], SHARD_ROWS), min(2 * parallelism(spark), ceil_div(sizes["n"], 256)))
     asked = flat.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
     asked = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(_numbers(shards)).alias("shard"))
-    stored = flat.select("id", "v", F.explode(_numbers(blocks)).alias("block"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"))
+    stored = flat.select(F.col("id").alias("vec_id"), "v", F.explode(_numbers(blocks)).alias("block"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         top = cell_top(left, right, k)
