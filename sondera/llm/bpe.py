@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import batches
 
 #: Characters of text whose words are deduplicated together, words of one row, and characters of one batch.
-BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS = 24_000_000, 512, 4_000_000
+BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS = 32_000_000, 512, 4_000_000
 #: The fold takes time in the square of a word's length: longer words (in bytes) are merged with a heap.
 FOLDED_BYTES = 64
 #: Buckets of the literal rank map. Spark looks through a map's keys one after the other, so the map is cut into many.
