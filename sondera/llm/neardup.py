@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut
 from .components import connected_components
-from .simhash import fingerprint_components, fingerprints, shingle_hashes, tile_links
+from .simhash import SKETCH_BITS, fingerprint_components, fingerprints, shingle_hashes, tile_links
 
 #: Fingerprints this close are taken for the same text with a few words changed; their smallest document stands for them.
 TIGHT = 2
@@ -38,31 +38,41 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
     """``(doc_id, class_id)`` of every row of ``docs(doc_id, text)`` with a doc_id; class_id is the class's smallest doc_id.
 
     Rows whose fingerprints of ``words``-word shingles differ in ``tight`` or fewer bits are one group. The groups' smallest rows are
-    compared tile by tile: pairs whose fingerprints differ in ``radius`` or fewer bits, and whose numbers of shingles allow it, are
-    looked at closely, and linked where the Jaccard similarity of their shingle sets is at least ``similarity``. Classes are
+    compared tile by tile: pairs whose fingerprints differ in ``radius`` or fewer bits, whose numbers of shingles allow it and
+    whose sketches agree as sets of that similarity do (but for three in a hundred thousand) are looked at closely, and linked where the Jaccard similarity of their shingle sets is at least ``similarity``. Classes are
     the connected components. Texts without words are a group. Rows without doc_id are left out; rows that share one are one.
     """
-    base = cut(fingerprints(docs.where("doc_id is not null"), words))
+    base = cut(fingerprints(docs.where("doc_id is not null"), words, sketched=True))
     groups = cut(fingerprint_components(base.select("doc_id", "fp"), tight).select("doc_id", F.col("component_id").alias("group_id")).distinct())
     heads = groups.select(F.col("group_id").alias("doc_id")).distinct()
     nodes = base.join(heads, "doc_id", "left_semi").where("shingles > 0")
     step = math.log(1 / similarity)
     # several heads may share a fingerprint only if a doc_id repeats; the least stands for them
-    nodes = cut(nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("shingles").alias("shingles")))
+    nodes = cut(nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("shingles").alias("shingles"), F.min("sketch").alias("sketch")))
     size = F.floor(F.log(F.col("shingles").cast("double")) / F.lit(step))
     bits = F.floor(F.bit_count("fp") / F.lit(radius + 1))
     # sets of similarity s differ in size by a factor s at most; repeats make the bound on shingles looser by one class
     offsets = [(i, j) for i in range(0, 3) for j in (-1, 0, 1) if (i, j) >= (0, 0)]
-    links = tile_links(nodes, [size, bits], offsets, radius, forest=False)
     ids = nodes.select("fp", "doc_id")
-    pairs = links.join(ids.select(F.col("fp").alias("u"), F.col("doc_id").alias("a")), "u").join(ids.select(F.col("fp").alias("v"), F.col("doc_id").alias("b")), "v").select("a", "b")
-    pairs = cut(pairs)
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _sets(docs.join(asked, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"])
-    sets = cut(sets)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = connected_components(alike)
+    p = (1 + similarity) / 2
+    agree = math.floor(SKETCH_BITS * p - 4 * math.sqrt(SKETCH_BITS * p * (1 - p)))
+
+    def alike(links: DataFrame) -> DataFrame:
+        """The links, as documents, whose shingle sets are similar enough."""
+        pairs = links.distinct().join(ids.select(F.col("fp").alias("u"), F.col("doc_id").alias("a")), "u").join(ids.select(F.col("fp").alias("v"), F.col("doc_id").alias("b")), "v").select("a", "b")
+        pairs = cut(pairs)
+        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        sets = cut(_sets(docs.join(asked, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    # spanning trees of each two tiles first: they join a large group, so that its pairs need not all be looked at
+    first = cut(alike(tile_links(nodes.withColumn("label", F.col("doc_id")), [size, bits], offsets, radius, "tree", agree=agree)))
+    joined = connected_components(first).select(F.col("node").alias("doc_id"), "root")
+    labels = nodes.join(joined, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
+    # then every pair of texts not yet in one class
+    rest = alike(tile_links(cut(labels), [size, bits], offsets, radius, "all", agree=agree))
+    roots = connected_components(first.union(rest))
     named = roots.join(roots.groupBy("root").agg(F.min("node").alias("class_id")), "root").select(F.col("node").alias("group_id"), "class_id")
     return groups.join(named, "group_id", "left").select("doc_id", F.coalesce("class_id", "group_id").alias("class_id"))

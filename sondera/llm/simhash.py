@@ -63,8 +63,24 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
     return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :], strict=False)]
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``(doc_id, fp long, shingles int)`` of every row of ``docs(doc_id, text)``; texts without words have fingerprint 0."""
+#: One bit of each of so many minima of differently mixed shingle hashes: two sets agree in a share (1 + similarity) / 2 of them.
+SKETCH_BITS = 512
+_MIXERS = (np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits, as 64-bit words, of a set of shingle hashes."""
+    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for low in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[low : low + 1024, None] ^ (hashes[low : low + 1024, None] >> np.uint64(31))) * _MIXERS).min(0))
+    return np.packbits((least >> np.uint64(32)).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
+def fingerprints(docs: DataFrame, words: int = 3, sketched: bool = False) -> DataFrame:
+    """``(doc_id, fp long, shingles int)`` of every row of ``docs(doc_id, text)``; texts without words have fingerprint 0.
+
+    ``sketched`` adds ``sketch``, an array of SKETCH_BITS bits in longs.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
@@ -75,13 +91,19 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 sizes[i] = len(own)
                 hashes += own
             bits = _bits(np.array(hashes, dtype="<u8"), sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(bits.view("<i8")), pa.array(sizes)], names=["doc_id", "fp", "shingles"])
+            found, names = [batch.column(0).cast(pa.int64()), pa.array(bits.view("<i8")), pa.array(sizes)], ["doc_id", "fp", "shingles"]
+            if sketched:
+                all_hashes, ends = np.array(hashes, dtype="<u8"), np.cumsum(sizes)
+                found.append(pa.array([sketch(all_hashes[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.list_(pa.int64())))
+                names.append("sketch")
+            yield pa.RecordBatch.from_arrays(found, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, shingles long")
+    kinds = "doc_id long, fp long, shingles long" + ", sketch array<long>" * sketched
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """As few links as join the same nodes: every node of a component with its smallest node."""
+def _labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each of ``n`` nodes' components."""
     label = np.arange(n)
     while True:
         low = np.minimum(label[i], label[j])
@@ -90,11 +112,33 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
         np.minimum.at(label, label[j], low)
         label = label[label]
         if (label == before).all():
-            break
+            return label
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as join the same nodes: every node of a component with its smallest node."""
+    label = _labels(i, j, n)
     nodes = np.flatnonzero(label != np.arange(n))
     return nodes, label[nodes]
 
 
+def _tree(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the links of a spanning forest of least distances, by rounds in which every part takes its closest link out."""
+    part, live, chosen = np.arange(n), np.arange(len(i)), []
+    key = d.astype(np.int64) * len(i) + live
+    while len(live):
+        ci, cj = part[i[live]], part[j[live]]
+        apart = ci != cj
+        live, ci, cj = live[apart], ci[apart], cj[apart]
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, ci, key[live])
+        np.minimum.at(best, cj, key[live])
+        taken = np.unique(best[best < np.iinfo(np.int64).max]) % max(1, len(i))
+        chosen.append(taken)
+        part = _labels(part[i[taken]], part[j[taken]], n)[part]
+    return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
+
+
 def _close(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of two tiles whose fingerprints differ in at most ``radius`` bits."""
     found_i, found_j = [], []
@@ -111,22 +155,25 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def tile_links(nodes: DataFrame, coords: list[Column], offsets: list[tuple[int, ...]], radius: int, forest: bool, tile_rows: int = TILE_ROWS) -> DataFrame:
+def tile_links(nodes: DataFrame, coords: list[Column], offsets: list[tuple[int, ...]], radius: int, mode: str = "all", tile_rows: int = TILE_ROWS, agree: int = 0) -> DataFrame:
     """Links ``(u long, v long)`` between distinct fingerprints of ``nodes(fp, ...)`` at ``radius`` or fewer differing bits.
 
     ``coords`` are counts that close fingerprints can differ in only by one of ``offsets`` (one of each opposite pair):
     tiles of other cells are skipped. A cell is cut into tiles of about ``tile_rows``, so no task holds more than two
-    tiles whatever a cell's size. ``forest`` gives only links that join the same components, at most one a row of a tile.
+    tiles whatever a cell's size. Mode ``forest`` gives only links that join the same components, at most one a row of a tile;
+    ``tree`` a spanning forest of the closest links; ``all`` every link. Where ``nodes`` have a ``label``, only links between different labels;
+    where they have a ``sketch``, only links whose sketches agree in ``agree`` bits or more.
     """
+    labelled, sketched = "label" in nodes.columns, "sketch" in nodes.columns
     dims = len(coords)
     width = 1 << 12
     code = lambda parts: sum((p * F.lit(width**k) for k, p in enumerate(parts[1:], 1)), parts[0])
-    placed = nodes.select("fp", F.array(*[c.cast("long") for c in coords]).alias("at"))
+    placed = nodes.select("fp", *["label"] * labelled, *["sketch"] * sketched, F.array(*[c.cast("long") for c in coords]).alias("at"))
     counts = placed.groupBy("at").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("tiles"))
     # one row for each combination of small counts: its size does not depend on the number of nodes
     counts = F.broadcast(cut(counts))
     tiles = placed.join(counts, "at").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int"))
-    tiles = cut(tiles.groupBy("at", "tile").agg(F.collect_list("fp").alias("fps")))
+    tiles = cut(tiles.groupBy("at", "tile").agg(F.collect_list(F.struct("fp", F.col("label" if labelled else "fp").alias("label"), *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_BITS // 64 * sketched)])).alias("fps")))
     step = F.explode(F.array(*[F.array(*[F.lit(int(x)).cast("long") for x in o]) for o in offsets])).alias("off")
     left = tiles.select("at", F.col("tile").alias("tile_a"), F.col("fps").alias("a"), step)
     left = left.select("tile_a", "a", F.array(*[F.col("at")[k] + F.col("off")[k] for k in range(dims)]).alias("at"), (F.col("off") == F.array(*[F.lit(0).cast("long")] * dims)).alias("same"))
@@ -138,15 +185,25 @@ def tile_links(nodes: DataFrame, coords: list[Column], offsets: list[tuple[int,
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             for a, b, same in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                x, y = (c.values.to_numpy(zero_copy_only=False).astype("<i8").view("<u8") for c in (a, b))
+                (x, own, *sx), (y, other, *sy) = ([f.to_numpy(zero_copy_only=False).astype("<i8") for f in c.values.flatten()] for c in (a, b))
+                x, y = x.view("<u8"), y.view("<u8")
                 i, j = _close(x, y, radius, same.as_py())
+                if labelled:
+                    apart = own[i] != other[j]
+                    i, j = i[apart], j[apart]
+                if sketched and len(i):
+                    like = SKETCH_BITS - sum(np.bitwise_count((p[i] ^ q[j]).view("<u8")).astype(np.int64) for p, q in zip(sx, sy, strict=True)) >= agree
+                    i, j = i[like], j[like]
                 if not len(i):
                     continue
                 both = x if same.as_py() else np.concatenate([x, y])
                 if not same.as_py():
                     j = j + len(x)
-                if forest and len(i) > len(both):
+                if mode == "forest" and len(i) > len(both):
                     i, j = _forest(i, j, len(both))
+                elif mode == "tree":
+                    kept = _tree(i, j, np.bitwise_count(both[i] ^ both[j]), len(both))
+                    i, j = i[kept], j[kept]
                 u, v = both[i].view("<i8"), both[j].view("<i8")
                 for low in range(0, len(u), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(u[low : low + 100_000]), pa.array(v[low : low + 100_000])], names=["u", "v"])
@@ -172,7 +229,7 @@ def fingerprint_components(base: DataFrame, radius: int = 2) -> DataFrame:
     their component's smallest doc_id, null if it has none.
     """
     nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = tile_links(nodes, quarter_counts(F.col("fp")), half_ball(4, radius), radius, forest=True)
+    links = tile_links(nodes, quarter_counts(F.col("fp")), half_ball(4, radius), radius, "forest")
     roots = connected_components(links).withColumnRenamed("node", "fp")
     placed = cut(nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
