@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, unit_hash
 from .grams import fit_logistic, gram_vector, sigmoid
 
 #: Labelled rows that are learnt from, for each language and in all; hashed grams.
@@ -97,8 +97,12 @@ def fit(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, sample: int = SAMP
     It is fitted on at most ``a_language`` rows a language and ``sample`` rows in all, the first in the order of a hash of doc_id.
     """
     known = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id"))
-    drawn = known.select("doc_id", "text", "lang").withColumn("n", order).where(F.col("n") <= a_language)
+    # a row for each language, ``sample`` of them at most; then about four times the rows wanted get as far as the ranking
+    shares = known.groupBy("lang").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "lang").limit(sample).select(F.col("lang").alias("__lang"), (4 * a_language / F.col("__n")).alias("__share"))
+    at = unit_hash("doc_id", 42)
+    few = known.select("doc_id", "text", "lang").join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(at < F.col("__share"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(at, "doc_id"))
+    drawn = few.withColumn("n", order).where(F.col("n") <= a_language)
     rows = drawn.orderBy("n", "lang").limit(sample).select("text", "lang").collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 

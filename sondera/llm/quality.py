@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, hash_sample, unit_hash
 from .grams import fit_logistic, gram_vector, sigmoid
 
 #: Labelled and unlabelled rows that the two views are fitted on, whatever the table's size.
-LABELLED, UNLABELLED = 3000, 3000
+LABELLED, UNLABELLED = 2000, 2000
 #: Rounds, and pseudo-labels that each view gives the other in one: so many of each class at most, none less sure than this.
 ROUNDS, GIVEN, SURE = 5, 100, 0.97
-DIMS, SOURCE_DIMS = 1 << 12, 16
+DIMS, SOURCE_DIMS = 1 << 11, 16
 #: Documents of less than this probability of good quality are rejected.
 THRESHOLD = 0.5
 
@@ -154,9 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     one = one.where("least = most").select(F.col("doc_id").alias("__id"), F.col("least").cast("int").alias("__y"))
     own = docs.select("doc_id", "text", "lang", "source")
     # labels first, so that no more texts are read out than are learnt from
-    drawn = one.orderBy(F.xxhash64("__id", F.lit(42)), "__id").limit(2 * labelled)
-    rows = own.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(labelled).collect()
-    more = own.orderBy(F.xxhash64("doc_id", F.lit(43)), "doc_id").limit(unlabelled).collect()
+    drawn = hash_sample(one, "__id", 42, 2 * labelled)
+    rows = own.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).orderBy(unit_hash("doc_id", 42), "doc_id").limit(labelled).collect()
+    more = hash_sample(own, "doc_id", 43, unlabelled).collect()
     taken = {r["doc_id"] for r in rows}
     more = [r for r in more if r["doc_id"] not in taken]
     (text, page), (more_text, more_page) = _views(rows), _views(more)
