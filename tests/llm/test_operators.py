@@ -216,10 +216,11 @@ def test_tiles_find_every_link(spark):
     assert got == {frozenset((int(fps.view("i8")[a]), int(fps.view("i8")[b]))) for a, b in near}
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("one_task", [0, 100, 10_000])
+def test_components_of_a_long_chain(spark, one_task):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (None, 3)], "u long, v long")
     got = {}
-    for r in components.connected_components(edges).collect():
+    for r in components.connected_components(edges, one_task).collect():
         got.setdefault(r.root, set()).add(r.node)
     assert sorted(map(len, got.values())) == [2, 301]
     assert components.connected_components(edges.limit(0)).count() == 0
