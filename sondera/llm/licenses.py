@@ -81,13 +81,21 @@ RULES: list[tuple[str, list[str]]] = [
 
 #: Sentences that are not known may stand between two sentences of a rule, up to this many.
 GAP = 2
+#: Known texts as their licences' own notices wrap them, where a line begins with a capital letter.
+WRAPPED = {"mpl2-mention": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."]}
 #: A line that goes on in lower case continues the sentence; a sentence ends at a line's end or at these marks before white space.
 WRAP, END = r"\n[ \t]*([a-z(])", r"[.;:!?]+[ \t\r]+|\n+"
+#: Marks of a comment before a line's text; without them a sentence goes on over commented lines too.
+COMMENT = r"\n[ \t]*(?:#+|//+|/?\*+|--+|;+|%+)[ \t]+"
+#: A tag ends with its line, whatever the next one begins with.
+TAG = r"((?i:SPDX-License-Identifier):[^\n]*)\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STOP = "|"
 BUCKETS = 256
 #: The sign of an unknown sentence; known ones have a character of Unicode's private area each.
 UNKNOWN, FIRST_SIGN = ".", 0xE000
+#: Stands for each further piece of a known text that the marks of END split.
+MORE = "~"
 
 
 def normalise(sentence: str) -> str:
@@ -112,16 +120,38 @@ def rule_table() -> dict[str, str]:
     return {"".join(sign[x] for x in sequence): name for name, sequence in reversed(RULES)}
 
 
-def rule_pattern() -> str:
-    """All rules as one ordered alternation."""
+def rule_pattern(after: str = "") -> str:
+    """All rules as one ordered alternation; ``after`` may follow each known sentence."""
     sign = signs()
     between = f"[{UNKNOWN}]{{0,{GAP}}}"
-    return "|".join(between.join(sign[x] for x in sequence) for _, sequence in RULES)
+    return "|".join(between.join(sign[x] + after for x in sequence) for _, sequence in RULES)
+
+
+def pieces(text: str) -> list[str]:
+    """What ``sentences`` makes of a text, in Python."""
+    joined = re.sub(WRAP, r" \1", re.sub(TAG, r"\1\n\n", re.sub(COMMENT, "\n", text)))
+    return [x for x in map(normalise, re.sub(END, _STOP, joined.replace(_STOP, " ")).split(_STOP)) if x]
+
+
+def split_texts() -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """The character of each piece of the known texts, and which sequences of characters are a known text of several pieces.
+
+    A piece that is a known sentence itself keeps its character; the others have one each after those of the identifiers.
+    """
+    sign = signs()
+    of_piece = {p[0]: sign[name] for name, variants in SENTENCES.items() for p in map(pieces, variants) if len(p) == 1}
+    several = [(sign[name], p) for name, variants in [*SENTENCES.items(), *WRAPPED.items()] for p in map(pieces, variants) if len(p) > 1]
+    for _, p in several:
+        for piece in p:
+            of_piece.setdefault(piece, chr(FIRST_SIGN + len(sign) + len(of_piece)))
+    whole = [("".join(of_piece[x] for x in p), name + MORE * (len(p) - 1)) for name, p in several]
+    return of_piece, sorted(whole, key=lambda w: -len(w[0]))
 
 
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text in order."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), WRAP, " $1")
+    lines = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, "\n"), TAG, "$1\n\n")
+    joined = F.regexp_replace(lines, WRAP, " $1")
     marked = F.regexp_replace(F.translate(joined, _STOP, " "), END, _STOP)
     plain = F.regexp_replace(F.translate(marked, _UPPER, _LOWER), "[^a-z0-9|]+", " ")
     return F.transform(F.split(plain, r"\|"), lambda s: F.trim(s))
@@ -132,25 +162,38 @@ def _lookup(found: Column, sentence: Column) -> Column:
     return F.coalesce(F.element_at(bucket, sentence), F.lit(UNKNOWN))
 
 
+def signed_texts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_sentences, signs)``: one character for each sentence, and MORE for each further piece of a known text."""
+    of_piece, whole = split_texts()
+    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    for sentence, sign in of_piece.items():
+        buckets[xxhash.xxh64_intdigest(sentence.encode(), 42) % BUCKETS][sentence] = sign
+    known = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+    split = docs.select("doc_id", F.filter(sentences(F.col("text").cast("string")), lambda s: s != "").alias("s"))
+    signed = split.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(F.element_at(F.transform(F.array(known), lambda k: F.transform("s", lambda s: _lookup(k, s))), 1), "").alias("signs"))
+    parts = "".join(sorted(set(of_piece.values()) - set(signs().values())))
+    joined = F.col("signs")
+    for sequence, one in whole:
+        joined = F.replace(joined, F.lit(sequence), F.lit(one))
+    # a piece that stands alone is no known sentence
+    return signed.withColumn("signs", F.when(F.col("signs").rlike(f"[{parts}]"), F.translate(joined, parts, UNKNOWN * len(parts))).otherwise(F.col("signs")))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, licenses, matches, n_matches, first_sentence, n_sentences)`` for every row of ``docs(doc_id, text)``.
 
-    Each sentence of the whole text is mapped to the identifier of a known licence sentence, and the sequence of identifiers is
+    Each sentence of the whole text is mapped to the identifier of a known licence sentence; known texts that hold a sentence's end
+    inside ("SPDX-License-Identifier: MIT") are split as the documents are and found as sequences. The sequence of identifiers is
     matched against RULES from left to right without overlap. ``matches`` has the licences in order of occurrence, ``licenses`` the
     distinct ones in alphabetical order, both comma-joined; ``first_sentence`` is the number (from 1) of the first matched
     sentence, 0 if none. Null and empty texts have no sentence and no match. Repeated rows and null doc_ids come out as they are;
     extra columns are ignored; an empty table gives an empty result. Rows are independent: nothing is shuffled.
     """
-    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
-    for sentence, sign in sentence_signs().items():
-        buckets[xxhash.xxh64_intdigest(sentence.encode(), 42) % BUCKETS][sentence] = sign
-    known = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
     rules = F.from_json(F.lit(json.dumps(rule_table())), "map<string,string>")
-    split = docs.select("doc_id", F.filter(sentences(F.col("text").cast("string")), lambda s: s != "").alias("s"))
-    signed = split.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(F.element_at(F.transform(F.array(known), lambda k: F.transform("s", lambda s: _lookup(k, s))), 1), "").alias("signs"))
-    hit = F.regexp_extract_all("signs", F.lit(rule_pattern()), F.lit(0))
+    signed = signed_texts(docs)
+    hit = F.regexp_extract_all("signs", F.lit(rule_pattern(f"{MORE}*")), F.lit(0))
     named = signed.withColumn("hits", F.when(F.col("signs").rlike(f"[^{UNKNOWN}]"), hit).otherwise(F.array().cast("array<string>")))
-    licence = F.transform("hits", lambda h: F.element_at(rules, F.translate(h, UNKNOWN, "")))
+    licence = F.transform("hits", lambda h: F.element_at(rules, F.translate(h, UNKNOWN + MORE, "")))
     out = named.withColumn("m", licence)
     return out.select(
         "doc_id",

@@ -116,6 +116,43 @@ def test_licence_rules_take_the_longest_sequence(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before", ["", "# ", " * ", "// "])
+def test_every_known_text_is_found_in_itself(spark, before):
+    commented = lambda text: "\n".join(before + line for line in text.split("\n"))
+    own = [(name, v) for name, variants in licenses.SENTENCES.items() for v in variants]
+    df = spark.createDataFrame([(i, commented(f"Some prose\n\n{v}\n\nMore prose")) for i, (_, v) in enumerate(own)], "doc_id long, text string")
+    sign = licenses.signs()
+    got = {r.doc_id: r.signs for r in licenses.signed_texts(df).collect()}
+    assert [own[i] for i in got if sign[own[i][0]] not in got[i]] == []
+
+
+def test_every_rule_is_found_in_its_own_text(spark):
+    texts = []
+    for _, sequence in licenses.RULES:
+        seen = dict.fromkeys(sequence, 0)
+        for name in sequence:  # a name that a rule repeats stands for its variants in turn
+            texts.append(licenses.SENTENCES[name][min(seen[name], len(licenses.SENTENCES[name]) - 1)])
+            seen[name] += 1
+    at = iter(texts)
+    df = spark.createDataFrame([(i, "\n\n".join(next(at) for _ in sequence)) for i, (_, sequence) in enumerate(licenses.RULES)], "doc_id long, text string")
+    got = {r.doc_id: (r.matches, r.n_matches) for r in licenses.license_scan(df).collect()}
+    assert [(name, got[i]) for i, (name, _) in enumerate(licenses.RULES) if got[i] != (name, 1)] == []
+
+
+@pytest.mark.parametrize(
+    ("text", "found", "first"),
+    [
+        ("x = 1\n// SPDX-License-Identifier: MIT\nint y;", "MIT", 2), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0-only", 1),
+        ("# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy", "MPL-2.0", 1),
+        ("# This Source Code Form is subject to the\n# terms of the Mozilla Public License, v. 2.0. If a copy", "MPL-2.0", 1),
+        ("# Permission is hereby granted\n# MIT\n# nothing", "", 0), (licenses.SENTENCES["mit-title"][0] + "\nMIT\n" + licenses.SENTENCES["mit-grant"][0], "MIT", 1),
+    ],
+)
+def test_split_and_commented_licences(spark, text, found, first):
+    row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.matches, row.first_sentence) == (found, first)
+
+
 # ---- personal data ----
 
 
