@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Characters of a window, and between the starts of two; spans that touch an inner edge are left to the next window.
+#: Characters of a window, and between the starts of two; spans that touch an inner edge are decoded again with more text around.
 WINDOW, STRIDE = 96, 48
 #: Windows decoded at once, labelled windows that the network learns from, and how long.
 AT_ONCE, TRAINED_ON, EPOCHS = 512, 1200, 6
@@ -242,9 +244,9 @@ def labelled_windows(count: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray
         return sep.join(full[i : i + 4] for i in range(0, len(full), 4))
 
     def email() -> str:
-        name, host, top = word().lower(), pick(["mail", "example", "post"]) + str(rng.integers(0, 10)), pick(["com", "org", "example.com", "de"])
+        name, host, top = word().lower(), pick(["mail", "example", "post"]) + pick(["", str(rng.integers(0, 10))]), pick(["com", "org", "example.com", "de"])
         at, dot = pick([("@", "."), ("@", "."), (" @ ", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] ")])
-        return f"{name}{pick(['.', '_', ''])}{digits(2)}{at}{host}{dot.join(['', top])}"
+        return f"{name}{pick(['.', '_', ''])}{pick([digits(2), word().lower()])}{at}{host}{dot.join(['', top])}"
 
     def make() -> tuple[str, int]:
         kind = int(rng.integers(0, 5))
@@ -304,13 +306,18 @@ def train(count: int = TRAINED_ON, epochs: int = EPOCHS, seed: int = 42) -> Netw
 # ---- whole texts ----
 
 
+_SPELLED_AT = re.compile(r"\(at\)|\[at\]")
+
+
 def _anchored(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an at sign; a span needs one of them, so no other window can have a span."""
+    """Starts of the windows that hold a digit, an at sign or one spelled out; a span needs one of them, so none can begin and end in another window."""
     length = len(text)
-    if not length or not ("@" in text or _DIGIT.search(text)):
+    spelled = [m.start() for m in _SPELLED_AT.finditer(text)]
+    if not length or not (spelled or "@" in text or _DIGIT.search(text)):
         return []
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     at = np.flatnonzero(((codes >= 48) & (codes <= 57)) | (codes == 64))
+    at = np.union1d(at, np.array(spelled, dtype=at.dtype))
     last = max(0, -(-(length - WINDOW) // STRIDE))
     high = np.minimum(at // STRIDE, last)
     low = np.maximum(0, -(-(at - WINDOW + 1) // STRIDE))
@@ -318,11 +325,14 @@ def _anchored(text: str) -> list[int]:
     return np.unique(np.concatenate([np.minimum(low + k, high) for k in range(-(-WINDOW // STRIDE) + 1)])).tolist()
 
 
-def window_spans(net: Network, windows: list[tuple[int, int, np.ndarray, int]]) -> Iterator[tuple[int, int, int, int, float]]:
-    """``(text number, kind, start, end, score)`` of windows ``(text number, start, classes, text length)``."""
+def window_spans(net: Network, windows: list[tuple[int, int, np.ndarray, int]]) -> Iterator[tuple[int, int, int, int, float, bool]]:
+    """``(text number, kind, start, end, score, whole)`` of windows ``(text number, start, classes, text length)``.
+
+    Spans that touch an inner edge of their window are not whole, and given whatever their score.
+    """
     for low in range(0, len(windows), AT_ONCE):
         part = windows[low : low + AT_ONCE]
-        x = np.zeros((WINDOW, len(part)), dtype=np.int64)
+        x = np.zeros((max(WINDOW, *(len(w[2]) for w in part)), len(part)), dtype=np.int64)
         for n, (_, _, classes, _) in enumerate(part):
             x[: len(classes), n] = classes
         tags, margin = net.decode(x)
@@ -339,11 +349,28 @@ def window_spans(net: Network, windows: list[tuple[int, int, np.ndarray, int]])
                     end += 1
                 whole = (k > 0 or start == 0) and (end < size or start + size == length)
                 score = float(margin[k:end, n].mean())
-                if whole and score >= LEAST_MARGIN:
-                    yield row, (int(tag) - 1) // 2, start + k, start + end, score
+                if not whole or score >= LEAST_MARGIN:
+                    yield row, (int(tag) - 1) // 2, start + k, start + end, score, whole
                 k = end
 
 
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _meets(span: tuple[int, int], merged: list[tuple[int, int]]) -> bool:
+    """Whether one of the merged ranges has a character of the span."""
+    i = bisect.bisect_left(merged, (span[1], -1)) - 1
+    return i >= 0 and merged[i][1] > span[0]
+
+
 def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
     """Spans ``(kind, start, end)`` that do not overlap and have the largest sum of score by length, over a whole text.
 
@@ -376,7 +403,7 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 
 
 def plausible(kind: int, piece: str) -> bool:
-    """Whether a span's characters can be of its kind at all; every span needs a digit or an at sign."""
+    """Whether a span's characters can be of its kind at all; every span needs a digit or an at sign, which may be spelled out."""
     digits = sum(c in "0123456789" for c in piece)
     if kind == 0:
         return bool(re.search(r"@|\(at\)|\[at\]", piece)) and not re.search(r"\n", piece)
@@ -396,9 +423,13 @@ def find(texts: list[str], net: Network) -> list[tuple[list[tuple[int, int, int]
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     windows: list[tuple[int, int, np.ndarray, int]] = []
 
+    edges: list[list[tuple[int, int]]] = [[] for _ in texts]
+
     def flush() -> None:
-        for row, kind, start, end, score in window_spans(net, windows):
-            if plausible(kind, texts[row][start:end]):
+        for row, kind, start, end, score, whole in window_spans(net, windows):
+            if not whole:
+                edges[row].append((start, end))
+            elif plausible(kind, texts[row][start:end]):
                 found[row].append((kind, start, end, score))
         windows.clear()
 
@@ -409,6 +440,40 @@ def find(texts: list[str], net: Network) -> list[tuple[list[tuple[int, int, int]
             if len(windows) >= 4 * AT_ONCE:
                 flush()
     flush()
+
+    # spans that touch an edge, and that no whole one holds: decoded again with more text around them, until they end inside
+    reach = STRIDE
+    while True:
+        wider = []
+        for n, cut in enumerate(edges):
+            if cut:
+                held = sorted((s, e) for _, s, e, _ in found[n])
+                most = [0, *accumulate((e for _, e in held), max)]  # the largest end of the first spans
+                own = _merged([c for c in cut if most[bisect.bisect_right(held, (c[0], len(texts[n])))] < c[1]])
+                places = _merged([(max(0, s - reach), min(len(texts[n]), e + reach)) for s, e in own])
+                wider += [(n, low, high, own) for low, high in places]
+                edges[n] = []
+        if not wider:
+            break
+        wider.sort(key=lambda w: w[2] - w[1])
+        low = 0
+        while low < len(wider):  # alike long ones together, so that little is filled up
+            high = low + 1
+            longest = wider[low][2] - wider[low][1] + STRIDE
+            while high < len(wider) and high - low < AT_ONCE and wider[high][2] - wider[high][1] <= longest:
+                high += 1
+            part = wider[low:high]
+            own = {w[0]: w[3] for w in part}
+            again = [(n, s, char_classes(texts[n][s:e]), len(texts[n])) for n, s, e, _ in part]
+            for row, kind, start, end, score, whole in window_spans(net, again):
+                if not _meets((start, end), own[row]):
+                    continue  # the first windows around it have it
+                if not whole:
+                    edges[row].append((start, end))
+                elif plausible(kind, texts[row][start:end]):
+                    found[row].append((kind, start, end, score))
+            low = high
+        reach *= 2
     out = []
     for own, more in zip(base, found, strict=True):
         taken = sorted((s, e) for _, s, e in own)
@@ -427,9 +492,9 @@ def pii_spans(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """``(doc_id, base, added)`` for every row of ``docs(doc_id, text)``: arrays of ``struct<kind, start, end>`` over the whole text.
 
     Positions are code points, the end is exclusive. ``base`` has the patterns' spans; ``added`` those that the network finds beside
-    them, at least one digit or at sign each. Null and empty texts have none. Repeated rows and null doc_ids come out as they are;
+    them, at least one digit or at sign each (one spelled out, too). Null and empty texts have none. Repeated rows and null doc_ids come out as they are;
     extra columns are ignored; an empty table gives an empty result. Rows are independent: nothing is shuffled. Windows without
-    digit and at sign are not decoded, as no span can be in them alone.
+    any of them are not decoded, as no span can be in them alone; a span that no window holds whole is decoded with more text around it.
     """
     net = net or train()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -181,6 +181,42 @@ def test_network_finds_what_patterns_miss(network):
     assert base == added == []
 
 
+def test_long_spans_are_found_at_every_offset(network):
+    span = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    filler = "plain words go on here and there without any end to them at all so that " * 4
+    texts = [f"{filler[: 96 + k]} {span} and then more of the plain words {filler}" for k in range(pii.STRIDE)]
+    got = [[t[s:e] for k, s, e in added if pii.KINDS[k] == "secret"] for t, (_, added) in zip(texts, pii.find(texts, network), strict=True)]
+    assert [k for k, g in enumerate(got) if g != [span]] == []
+
+
+def test_spans_longer_than_a_window_are_decoded_whole():
+    class Tagged:  # tags every "a" as one span of secrets
+        def decode(self, x):
+            own = x == pii.char_classes("a")[0]
+            begins = own & ~np.vstack([np.zeros((1, x.shape[1]), bool), own[:-1]])
+            return np.where(begins, 9, np.where(own, 10, 0)), np.full(x.shape, 5.0)
+
+    for size in (95, 96, 200, 1000):
+        text = "." * 150 + "a" * size + "." * 150
+        found = []
+        plausible, anchored = pii.plausible, pii._anchored
+        pii.plausible, pii._anchored = lambda kind, piece: True, lambda text: list(range(-(-(len(text) - pii.WINDOW) // pii.STRIDE) + 1))
+        try:
+            found = pii.find([text], Tagged())[0][1]
+        finally:
+            pii.plausible, pii._anchored = plausible, anchored
+        assert found == [(4, 150, 150 + size)]
+
+
+def test_spelled_out_addresses_without_digits_are_decoded(network):
+    before = "only words stand here and then "
+    for address in ("jane.doe (at) mail (dot) org", "jane.doe [at] mail [dot] org"):
+        assert pii._anchored(before * 10 + address)
+    text = before + "anna_smith [at] example [dot] org goes on with more words"
+    (_, added), = pii.find([text], network)
+    assert [text[s:e] for _, s, e in added] == ["anna_smith [at] example [dot] org"]
+
+
 def test_gradients(network):
     net = pii.Network.fresh(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
