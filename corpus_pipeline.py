@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondera.llm import bpe, linededup, mixing, neardup, quality
-from sondera.llm.common import shared_folder, table
+from sondera.llm.common import cut, shared_folder, table
 from sondera.llm.queries import tokenizer
 
 
@@ -42,10 +42,16 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, how many, and the digests of the ids and of the bytes they decode to."""
+    """Each document's place in the mixture, its ids, how many, and the digests of the ids and of the bytes they decode to.
+
+    The documents have no column for their place, so it is derived again from the same rows, and the output is in that order.
+    """
     ranks, pattern = tokenizer()
-    encoded = bpe.encode(docs.select("doc_id", "text"), ranks, pattern)
-    return bpe.digests(encoded, ranks, keep_ids=True)
+    placed = cut(mixing.mix(docs.select("doc_id", "text", "source")).withColumnsRenamed({"__slot": "slot", "__place": "place"}))
+    at = (F.col("slot") * mixing.BLOCK_ROWS + F.col("place")).alias("__at")  # one for each row, also for those that share a doc_id or have none
+    encoded = bpe.encode(placed.select(at.alias("doc_id"), "text"), ranks, pattern).withColumnRenamed("doc_id", "__at")
+    named = encoded.join(placed.select("doc_id", "slot", "place", at), "__at")
+    return bpe.digests(named, ranks, keep_ids=True, keep=("slot", "place")).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
 
 
 STAGES = [
@@ -61,10 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``, each written to the shared folder and read again."""
+    """The stages one after the other over ``documents``, each written to the shared folder and read again; rows in the mixture's order."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    return docs.orderBy("slot", "place")  # the reader packs files by size

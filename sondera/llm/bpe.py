@@ -211,10 +211,14 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     return _let(vocabulary, lambda v: F.encode(F.array_join(F.transform(ids, lambda i: F.get(v, i)), ""), "ISO-8859-1"))
 
 
-def digests(encoded: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of ``encoded(doc_id, ids)``; the second digest is of the decoded ids."""
+def digests(encoded: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of ``encoded(doc_id, ids)``; the second digest is of the decoded ids.
+
+    The columns ``keep`` are kept beside them.
+    """
     return encoded.select(
         "doc_id",
+        *keep,
         *["ids"] * keep_ids,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from sondera.llm import queries as Q
 from sondera.llm.langid import UNKNOWN
@@ -85,3 +86,27 @@ def test_pipeline_stages(spark, data, tmp_path):
             assert after.columns == docs.columns
         ids, docs = set(left), after
     assert {"doc_id", "ids", "n_tokens"} <= set(docs.columns)
+
+
+def test_pipeline_result_is_in_the_order_of_the_mixture(spark, data):
+    import corpus_pipeline as P
+    from sondera.llm import mixing
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.union(odd).union(docs.limit(1)).repartition(7)
+    got = P.byte_bpe(spark, docs, data)
+    want = sorted((r["__slot"], r["__place"], r.doc_id) for r in mixing.mix(docs).collect() if r.doc_id is not None)
+    rows = got.collect()
+    assert sorted((r.slot, r.place, r.doc_id) for r in rows if r.doc_id is not None) == want
+    assert len(rows) == docs.count() == len({(r.slot, r.place) for r in rows})
+    assert [(r.slot, r.place) for r in rows] == sorted((r.slot, r.place) for r in rows)
+
+
+def test_pipeline_run_returns_that_order(spark, data, monkeypatch):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(P, "STAGES", P.STAGES[3:])
+    rows = P.run(spark, data).collect()
+    assert len(rows) == len(documents(spark, data))
+    assert [(r.slot, r.place) for r in rows] == sorted((r.slot, r.place) for r in rows)
