@@ -6,7 +6,9 @@ import math
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error elsewhere."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sondera-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -59,6 +63,33 @@ def hash_sample(df: DataFrame, key: str, seed: int, rows: int) -> DataFrame:
     return (df.where(at < share) if share < 1 else df).orderBy(at, key).limit(rows)
 
 
+def slices(batch: pa.RecordBatch, at: int, size: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch whose column ``at``, of strings, has about ``size`` bytes and which have ``rows`` rows at most; a longer string is alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = min(low + rows, max(low + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+#: A key that more than one row in so many has is hot: there are no more hot keys than that.
+HOT = 200
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row for each ``key`` and in ``count`` how many of the rows it has.
+
+    The rows of hot keys, HOT at most, are joined with a broadcast of theirs, so no task gets all of a hot key's rows; the others are joined by shuffle.
+    """
+    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    is_hot = F.col(count) * F.lit(HOT) > F.lit(total)
+    hot = keyed.where(is_hot)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(~is_hot), key))
+
+
 def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
         if batch.num_rows:
