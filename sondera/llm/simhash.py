@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut
+from .common import batches, ceil_div, cut, join_hot, parallelism, slices
 from .components import connected_components
 
-#: Rows of one tile, and shingles whose bits are counted at once.
-TILE_ROWS = 4096
-COUNTED_AT_ONCE = 200_000
+#: Rows of one tile, bytes of the tiles that one task compares together, bytes of text hashed and shingles counted at once.
+TILE_ROWS, BUNDLE_BYTES = 4096, 16_000_000
+HASHED_AT_ONCE, COUNTED_AT_ONCE = 2_000_000, 200_000
 SEED = 42
 
 
@@ -44,62 +44,68 @@ def _bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_hashes(text: str | None, words: int) -> list[int]:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 of every run of ``words`` words, repeats included; A-Z is lower-cased and words part at ASCII white space.
 
     A text of fewer words has one shingle, all of it; a text without words none.
     """
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return []
-    if len(parts) <= words:
-        return [xxhash.xxh64_intdigest(b" ".join(parts), SEED)]
-    joined, ends, at = b" ".join(parts), [], -1
-    for p in parts:
-        at += len(p) + 1
-        ends.append(at)
+        return np.zeros(0, dtype="<u8")
     digest = xxhash.xxh64_intdigest
-    starts = itertools.chain((0,), (x + 1 for x in ends))
-    return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :], strict=False)]
+    if len(parts) <= words:
+        return np.array([digest(b" ".join(parts), SEED)], dtype="<u8")
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[: len(parts) - words] + 1])
+    del parts
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), "<u8", len(starts))
 
 
 #: One bit of each of so many minima of differently mixed shingle hashes: two sets agree in a share (1 + similarity) / 2 of them.
 SKETCH_BITS = 512
-_MIXERS = (np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_MIXERS = (np.random.default_rng(SEED).integers(0, 1 << 31, SKETCH_BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """SKETCH_BITS bits, as 64-bit words, of a set of shingle hashes."""
-    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for low in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[low : low + 1024, None] ^ (hashes[low : low + 1024, None] >> np.uint64(31))) * _MIXERS).min(0))
-    return np.packbits((least >> np.uint64(32)).astype(np.uint8) & 1, bitorder="little").view("<i8")
+    small = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    least = np.full(SKETCH_BITS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for low in range(0, len(small), 512):
+        np.minimum(least, (small[low : low + 512, None] * _MIXERS).min(0), out=least)
+    return np.packbits((least >> np.uint32(7)).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``(doc_id, fp long)`` of every row of ``docs(doc_id, text)``; texts without words have fingerprint 0."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            for part in slices(batch, 1, HASHED_AT_ONCE):
+                own = [shingle_hashes(text.as_py(), words) for text in part.column(1)]
+                bits = _bits(np.concatenate(own), np.array([len(x) for x in own], dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.view("<i8"))], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, sketched: bool = False) -> DataFrame:
-    """``(doc_id, fp long, shingles int)`` of every row of ``docs(doc_id, text)``; texts without words have fingerprint 0.
+def set_prints(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, fp, shingles, digest, sketch)`` of the set of each row's different shingles: what a text repeats counts once.
 
-    ``sketched`` adds ``sketch``, an array of SKETCH_BITS bits in longs.
+    ``digest`` is equal where the sets are; ``sketch`` is an array of SKETCH_BITS bits in longs.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            hashes: list[int] = []
-            sizes = np.zeros(batch.num_rows, dtype=np.int64)
-            for i, text in enumerate(batch.column(1)):
-                own = shingle_hashes(text.as_py(), words)
-                sizes[i] = len(own)
-                hashes += own
-            bits = _bits(np.array(hashes, dtype="<u8"), sizes)
-            found, names = [batch.column(0).cast(pa.int64()), pa.array(bits.view("<i8")), pa.array(sizes)], ["doc_id", "fp", "shingles"]
-            if sketched:
-                all_hashes, ends = np.array(hashes, dtype="<u8"), np.cumsum(sizes)
-                found.append(pa.array([sketch(all_hashes[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.list_(pa.int64())))
-                names.append("sketch")
-            yield pa.RecordBatch.from_arrays(found, names=names)
-
-    kinds = "doc_id long, fp long, shingles long" + ", sketch array<long>" * sketched
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+            for part in slices(batch, 1, HASHED_AT_ONCE):
+                own = [np.unique(shingle_hashes(text.as_py(), words)) for text in part.column(1)]
+                sizes = np.array([len(x) for x in own], dtype=np.int64)
+                bits = _bits(np.concatenate(own), sizes)
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(np.concatenate([sketch(x) for x in own])))
+                digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.view("<i8")), pa.array(sizes), digests, sketches], names=["doc_id", "fp", "shingles", "digest", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, shingles long, digest binary, sketch array<long>")
 
 
 def _labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -156,59 +162,89 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
 
 
 def tile_links(nodes: DataFrame, coords: list[Column], offsets: list[tuple[int, ...]], radius: int, mode: str = "all", tile_rows: int = TILE_ROWS, agree: int = 0) -> DataFrame:
-    """Links ``(u long, v long)`` between distinct fingerprints of ``nodes(fp, ...)`` at ``radius`` or fewer differing bits.
+    """Links ``(u long, v long)`` between different rows of ``nodes(id, fp, ...)`` whose fingerprints differ in ``radius`` or fewer bits.
 
     ``coords`` are counts that close fingerprints can differ in only by one of ``offsets`` (one of each opposite pair):
-    tiles of other cells are skipped. A cell is cut into tiles of about ``tile_rows``, so no task holds more than two
-    tiles whatever a cell's size. Mode ``forest`` gives only links that join the same components, at most one a row of a tile;
-    ``tree`` a spanning forest of the closest links; ``all`` every link. Where ``nodes`` have a ``label``, only links between different labels;
-    where they have a ``sketch``, only links whose sketches agree in ``agree`` bits or more.
+    tiles of other cells are skipped. A cell is cut into tiles of about ``tile_rows``; pairs of tiles are dealt out in bundles of about
+    BUNDLE_BYTES, so what a task holds does not grow with a cell. Mode ``forest`` gives only links that join the same components, at
+    most one a row of a tile; ``tree`` a spanning forest of the closest links; ``all`` every link. Where ``nodes`` have a ``label``, only
+    links between different labels; where they have a ``sketch``, only links whose sketches agree in ``agree`` bits or more.
     """
+    spark = nodes.sparkSession
     labelled, sketched = "label" in nodes.columns, "sketch" in nodes.columns
-    dims = len(coords)
-    width = 1 << 12
+    words = SKETCH_BITS // 64 * sketched
+    dims, width = len(coords), 1 << 12
     code = lambda parts: sum((p * F.lit(width**k) for k, p in enumerate(parts[1:], 1)), parts[0])
-    placed = nodes.select("fp", *["label"] * labelled, *["sketch"] * sketched, F.array(*[c.cast("long") for c in coords]).alias("at"))
-    counts = placed.groupBy("at").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("tiles"))
+    placed = nodes.select("id", "fp", *["label"] * labelled, *["sketch"] * sketched, F.array(*[c.cast("long") for c in coords]).alias("at"))
     # one row for each combination of small counts: its size does not depend on the number of nodes
-    counts = F.broadcast(cut(counts))
-    tiles = placed.join(counts, "at").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int"))
-    tiles = cut(tiles.groupBy("at", "tile").agg(F.collect_list(F.struct("fp", F.col("label" if labelled else "fp").alias("label"), *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_BITS // 64 * sketched)])).alias("fps")))
+    counts = cut(placed.groupBy("at").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / F.lit(tile_rows)).cast("int")))
+    held = {tuple(r["at"]): (r["n"], r["tiles"]) for r in counts.collect()}
+    volume = sum(n * held[to][1] + held[to][0] * tiles for at, (n, tiles) in held.items() for o in offsets if (to := tuple(x + y for x, y in zip(at, o, strict=True))) in held)
+    bundles = max(2 * parallelism(spark), ceil_div(volume * 8 * (3 + words), BUNDLE_BYTES))
+    counts = F.broadcast(counts.select(F.col("at").alias("to"), F.col("tiles").alias("others")))
+    tiles = placed.join(counts, F.col("at") == F.col("to")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("others").cast("long")).cast("int"))
+    row = F.struct("id", "fp", F.col("label" if labelled else "id").alias("label"), *[F.col("sketch")[k].alias(f"s{k}") for k in range(words)])
+    tiles = cut(tiles.groupBy("at", "tile").agg(F.collect_list(row).alias("rows")))
     step = F.explode(F.array(*[F.array(*[F.lit(int(x)).cast("long") for x in o]) for o in offsets])).alias("off")
-    left = tiles.select("at", F.col("tile").alias("tile_a"), F.col("fps").alias("a"), step)
-    left = left.select("tile_a", "a", F.array(*[F.col("at")[k] + F.col("off")[k] for k in range(dims)]).alias("at"), (F.col("off") == F.array(*[F.lit(0).cast("long")] * dims)).alias("same"))
-    left = left.join(counts, "at").withColumn("tile", F.explode(F.sequence(F.when(F.col("same"), F.col("tile_a")).otherwise(F.lit(0)), F.col("tiles") - 1)))
-    left = left.select("a", (F.col("same") & (F.col("tile") == F.col("tile_a"))).alias("same"), code([F.col("at")[k] for k in range(dims)]).alias("cell"), "tile")
-    right = tiles.select(code([F.col("at")[k] for k in range(dims)]).alias("cell"), "tile", F.col("fps").alias("b"))
-    pairs = left.join(right, ["cell", "tile"]).select("a", "b", "same")
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
-            for a, b, same in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                (x, own, *sx), (y, other, *sy) = ([f.to_numpy(zero_copy_only=False).astype("<i8") for f in c.values.flatten()] for c in (a, b))
-                x, y = x.view("<u8"), y.view("<u8")
-                i, j = _close(x, y, radius, same.as_py())
-                if labelled:
-                    apart = own[i] != other[j]
-                    i, j = i[apart], j[apart]
-                if sketched and len(i):
-                    like = SKETCH_BITS - sum(np.bitwise_count((p[i] ^ q[j]).view("<u8")).astype(np.int64) for p, q in zip(sx, sy, strict=True)) >= agree
-                    i, j = i[like], j[like]
-                if not len(i):
-                    continue
-                both = x if same.as_py() else np.concatenate([x, y])
-                if not same.as_py():
-                    j = j + len(x)
-                if mode == "forest" and len(i) > len(both):
-                    i, j = _forest(i, j, len(both))
-                elif mode == "tree":
-                    kept = _tree(i, j, np.bitwise_count(both[i] ^ both[j]), len(both))
-                    i, j = i[kept], j[kept]
-                u, v = both[i].view("<i8"), both[j].view("<i8")
-                for low in range(0, len(u), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(u[low : low + 100_000]), pa.array(v[low : low + 100_000])], names=["u", "v"])
-
-    return pairs.mapInArrow(run, "u long, v long")
+    same = F.col("off") == F.array(*[F.lit(0).cast("long")] * dims)
+
+    def side(sign: int) -> DataFrame:
+        """Every tile once for each tile that it meets; the first of two tiles has sign 1."""
+        met = tiles.select("at", "tile", "rows", step)
+        met = met.withColumn("other", F.array(*[F.col("at")[k] + F.lit(sign) * F.col("off")[k] for k in range(dims)])).join(counts, F.col("other") == F.col("to"))
+        low, high = (F.when(same, F.col("tile")).otherwise(0), F.col("others") - 1) if sign > 0 else (F.lit(0), F.when(same, F.col("tile") - 1).otherwise(F.col("others") - 1))
+        met = met.where(high >= low).withColumn("other_tile", F.explode(F.sequence(low, high)))
+        cell = code([F.col("at" if sign > 0 else "other")[k] for k in range(dims)])
+        first, second = ("tile", "other_tile") if sign > 0 else ("other_tile", "tile")
+        key = F.concat_ws(" ", cell, F.col(first), F.array_join(F.col("off").cast("array<string>"), ","), F.col(second))
+        return met.select(key.alias("pair"), F.lit(sign).alias("side"), (same & (F.col("tile") == F.col("other_tile"))).alias("same"), "rows")
+
+    pairs = side(1).unionByName(side(-1)).withColumn("bundle", F.pmod(F.xxhash64("pair"), F.lit(bundles)))
+
+    def compare(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+        x, y = a[1].view("<u8"), b[1].view("<u8")
+        i, j = _close(x, y, radius, same)
+        if labelled:
+            apart = a[2][i] != b[2][j]
+            i, j = i[apart], j[apart]
+        strength = np.zeros(0, dtype=np.int64)
+        if words and len(i):
+            kept, strength = [], []
+            for low in range(0, len(i), 200_000):
+                p, q = i[low : low + 200_000], j[low : low + 200_000]
+                like = SKETCH_BITS - sum(np.bitwise_count((s[p] ^ t[q]).view("<u8")).astype(np.int64) for s, t in zip(a[3:], b[3:], strict=True))
+                near = np.flatnonzero(like >= agree)
+                kept.append(low + near)
+                strength.append(like[near])
+            kept, strength = np.concatenate(kept), np.concatenate(strength)
+            i, j = i[kept], j[kept]
+        ids = a[0] if same else np.concatenate([a[0], b[0]])
+        if not same:
+            j = j + len(x)
+        if mode == "forest" and len(i) > len(ids):
+            i, j = _forest(i, j, len(ids))
+        elif mode == "tree" and len(i):
+            both = x if same else np.concatenate([x, y])
+            kept = _tree(i, j, SKETCH_BITS - strength if words else np.bitwise_count(both[i] ^ both[j]), len(ids))
+            i, j = i[kept], j[kept]
+        return ids[i], ids[j]
+
+    def run(group: pa.Table) -> pa.Table:
+        names, sides, alone = group["pair"].to_pylist(), group["side"].to_pylist(), group["same"].to_pylist()
+        lists = [c for chunk in group["rows"].chunks for c in (chunk[k] for k in range(len(chunk)))]
+        at: dict[str, dict[int, int]] = {}
+        for n, (name, side) in enumerate(zip(names, sides, strict=True)):
+            at.setdefault(name, {})[side] = n
+        of = lambda n: [f.to_numpy(zero_copy_only=False).astype("<i8") for f in lists[n].values.flatten()]
+        us, vs = [np.zeros(0, "<i8")], [np.zeros(0, "<i8")]
+        for both in at.values():
+            a = of(both[1])
+            u, v = compare(a, a, True) if alone[both[1]] else compare(a, of(both[-1]), False)
+            us.append(u)
+            vs.append(v)
+        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+
+    return pairs.groupBy("bundle").applyInArrow(run, "u long, v long")
 
 
 def half_ball(dims: int, radius: int) -> list[tuple[int, ...]]:
@@ -228,13 +264,13 @@ def fingerprint_components(base: DataFrame, radius: int = 2) -> DataFrame:
     Equal fingerprints are one node, so copies are never compared with each other. Rows without doc_id take part and get
     their component's smallest doc_id, null if it has none.
     """
-    nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = tile_links(nodes, quarter_counts(F.col("fp")), half_ball(4, radius), radius, "forest")
+    nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    links = tile_links(nodes.withColumn("id", F.col("fp")), quarter_counts(F.col("fp")), half_ball(4, radius), radius, "forest")
     roots = connected_components(links).withColumnRenamed("node", "fp")
-    placed = cut(nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    placed = cut(nodes.join(roots, "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = placed.join(least, "root").select("fp", "component_id")
-    return base.join(labels, "fp")
+    labels = placed.join(least, "root").select("fp", "n", "component_id")
+    return join_hot(base, labels, "fp").select(*base.columns, "component_id")
 
 
 def simhash_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -243,5 +279,5 @@ def simhash_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) ->
     Null and empty texts have fingerprint zero and link like any other; repeated rows share a node; extra columns are
     ignored. An empty table gives an empty result.
     """
-    base = cut(fingerprints(docs, words).select("doc_id", "fp"))
+    base = cut(fingerprints(docs, words))
     return fingerprint_components(base, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
