@@ -11,48 +11,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, slices
 
 #: Lines that the rolling hash sees, and the fewest lines of a chunk.
 WINDOW, MIN_LINES = 2, 2
-#: A boundary is where the rolling hash is a multiple of this: chunks have about MIN_LINES + DIVISOR - 1 lines.
-DIVISOR = 2
+#: A line of so many words or more is a chunk of its own.
+LONG_WORDS = 50
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
 _FLUSH = 4_000_000
 
 
-def chunk_ends(lines: list[str], window: int = WINDOW, min_lines: int = MIN_LINES, divisor: int = DIVISOR) -> list[int]:
+def chunk_ends(lines: list[str], window: int = WINDOW) -> list[int]:
     """Ends (exclusive line numbers) of the chunks of ``lines``.
 
-    A polynomial hash rolls over the hashes of the last ``window`` lines; a chunk of at least ``min_lines`` ends where it
-    is a multiple of ``divisor``, so boundaries depend on nearby lines only and meet again behind an inserted or removed
-    line. Lines left at the end that are too few for a chunk belong to the last one.
+    A polynomial hash rolls over the hashes of the last ``window`` lines; a chunk ends where the hash is less than at the lines before
+    and behind. So a boundary depends on the lines next to it alone, not on where the last one was: inside a passage that is copied
+    elsewhere the boundaries are the same ones. Least values are never next to each other, so chunks have MIN_LINES lines or
+    more. A line of LONG_WORDS words is a chunk whatever stands around it; short lines between two such may be left alone.
     """
-    ends: list[int] = []
-    rolled, last, hashes = 0, 0, []
+    n = len(lines)
+    hashes = [xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines]
     out = pow(_BASE, window, _PRIME)
-    for i, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-        hashes.append(h)
-        rolled = (rolled * _BASE + h) % _PRIME
-        if i >= window:
-            rolled = (rolled - hashes[i - window] * out) % _PRIME
-        if i + 1 - last >= min_lines and rolled % divisor == 0:
-            ends.append(i + 1)
-            last = i + 1
-    if last < len(lines):
-        if ends and len(lines) - last < min_lines:
-            ends[-1] = len(lines)
-        else:
-            ends.append(len(lines))
-    return ends
+    rolled, at = 0, []
+    for i, h in enumerate(hashes):
+        rolled = (rolled * _BASE + h - (hashes[i - window] * out if i >= window else 0)) % _PRIME
+        at.append(rolled)
+    long = [len(line) >= 2 * LONG_WORDS - 1 and len(line.split()) >= LONG_WORDS for line in lines]
+    ends = {i + 1 for i in range(1, n - 2) if at[i - 1] > at[i] <= at[i + 1]}
+    for i in range(n):
+        if long[i]:
+            ends |= {i, i + 1}
+    return sorted((ends | {n}) - {0}) if n else []
 
 
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("crc", pa.int64()), ("place", pa.decimal128(38, 0)), ("first_line", pa.int32()), ("end_line", pa.int32()), ("digest", pa.binary()), ("body", pa.string())])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Every chunk of two or more lines: its document, its place (which orders all chunks), lines, digest and bytes."""
+    """Every chunk of two or more lines, or of one long one: its document, its place (which orders all chunks), lines, digest and bytes."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -60,19 +56,19 @@ def chunks(docs: DataFrame) -> DataFrame:
         for batch in batches(source):
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 text, doc_id = text.as_py(), doc_id.as_py()
-                if not text or "\n" not in text:
+                if not text:
                     continue
                 lines = text.split("\n")
                 crc = zlib.crc32(text.encode("utf-8", "surrogatepass"))
                 at = ((1 << 63) if doc_id is None else doc_id) * (1 << 32) + crc  # rows without doc_id come last
                 first = 0
                 for end in chunk_ends(lines):
-                    if end - first >= MIN_LINES:
+                    if end - first >= MIN_LINES or len(lines[first].split()) >= LONG_WORDS:
                         body = "\n".join(lines[first:end])
                         rows.append((doc_id, crc, Decimal(at * (1 << 24) + first), first, end, xxhash.xxh3_128_digest(body.encode("utf-8", "surrogatepass")), body))
                         held += len(body)
                     first = end
-                if held > _FLUSH:
+                if held > _FLUSH or len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CHUNKS.types, strict=True)], schema=_CHUNKS)
                     rows, held = [], 0
         if rows:
@@ -89,7 +85,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     goes elsewhere. Chunks with equal digests are compared byte by byte: they are grouped by digest and bytes together,
     and a digest that stands for different bytes removes nothing. ``__chunks_cut`` and ``__lines_cut`` count what went.
 
-    Texts of one line, empty and null texts have no chunk of several lines and stay as they are. Rows that repeat doc_id
+    Chunks have several lines, or are one line of LONG_WORDS words or more. Empty and null texts, and short texts of one line, have none and stay as they are. Rows that repeat doc_id
     and text are one document. Rows without doc_id come after all others. Extra columns pass through; an empty table
     gives an empty table.
 
@@ -111,12 +107,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     cut_at = len(names)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
+        for batch in (part for whole in batches(source) for part in slices(whole, text_at, _FLUSH)):
             columns = list(batch.columns)
-            texts = columns[text_at]
             n_chunks, n_lines = [0] * batch.num_rows, [0] * batch.num_rows
             if columns[cut_at].null_count < batch.num_rows:
-                own = texts.to_pylist()
+                own = columns[text_at].to_pylist()
                 for i, cuts in enumerate(columns[cut_at].to_pylist()):
                     if cuts:
                         lines = own[i].split("\n")
@@ -127,8 +122,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
                             n_lines[i] += at - c["first_line"]
                         own[i] = "\n".join(kept + lines[at:])
                         n_chunks[i] = len(cuts)
-                texts = pa.array(own, texts.type)
-            columns[text_at] = texts
+                columns[text_at] = pa.array(own, columns[text_at].type)
             columns[cut_at] = pa.array(n_chunks, pa.int32())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32())], names=[*names, "__chunks_cut", "__lines_cut"])
 
