@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, unit_hash
+from .common import batches, slices, unit_hash
 from .grams import fit_logistic, gram_vector, sigmoid
 
 #: Labelled rows that are learnt from, for each language and in all; hashed grams.
@@ -19,7 +19,7 @@ SAMPLE_A_LANGUAGE, SAMPLE, DIMS = 300, 3000, 1 << 13
 #: Languages whose losses are closer than this are told apart too weakly: the row is flagged.
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codewords(classes: int, seed: int = 42) -> np.ndarray:
@@ -51,14 +51,12 @@ class Model:
     trust: np.ndarray
 
 
-def train(texts: list[str], languages: list[str], dims: int = DIMS, seed: int = 42) -> Model | None:
-    """One binary classifier of n-grams for each bit of the codewords; None without a labelled text with a letter."""
-    pairs = [(t, lang) for t, lang in zip(texts, languages, strict=True) if t and _LETTER.search(t)]
-    if not pairs:
+def train(x: np.ndarray, languages: list[str], seed: int = 42) -> Model | None:
+    """One binary classifier for each bit of the codewords, of n-gram vectors ``x`` and their languages; None without any."""
+    if not languages:
         return None
-    names = sorted({lang for _, lang in pairs})
-    x = np.stack([gram_vector(t, dims) for t, _ in pairs])
-    label = np.array([names.index(lang) for _, lang in pairs])
+    names = sorted(set(languages))
+    label = np.array([names.index(lang) for lang in languages])
     code = codewords(len(names), seed)
     y = (code[label] > 0).astype(np.float32)
     per_class = np.bincount(label, minlength=len(names))
@@ -91,7 +89,7 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, sample: int = SAMPLE, dims: int = DIMS) -> Model | None:
     """A model of the rows of ``docs(doc_id, text, lang)`` that are not held out and have a language.
 
     It is fitted on at most ``a_language`` rows a language and ``sample`` rows in all, the first in the order of a hash of doc_id.
@@ -103,15 +101,28 @@ def fit(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, sample: int = SAMP
     few = known.select("doc_id", "text", "lang").join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(at < F.col("__share"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(at, "doc_id"))
     drawn = few.withColumn("n", order).where(F.col("n") <= a_language)
-    rows = drawn.orderBy("n", "lang").limit(sample).select("text", "lang").collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    chosen = drawn.orderBy("n", "lang").limit(sample).select("text", "lang")
+
+    def grams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            for i, text in enumerate(batch.column(0)):
+                v = gram_vector(text.as_py(), dims)
+                used = np.flatnonzero(v)
+                yield pa.RecordBatch.from_arrays([pa.array([used.astype("<u2").tobytes()]), pa.array([v[used].astype("<f4").tobytes()]), batch.column(1).slice(i, 1)], names=["used", "v", "lang"])
+
+    # the driver gets vectors of a bounded size, not texts
+    rows = chosen.mapInArrow(grams, "used binary, v binary, lang string").collect()
+    x = np.zeros((len(rows), dims), dtype=np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["used"], dtype="<u2")] = np.frombuffer(r["v"], dtype="<f4")
+    return train(x, [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``(doc_id, lang_pred, score, ambiguous)`` for every row of ``docs(doc_id, text)``, from its whole text alone."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
+        for batch in (part for whole in batches(source) for part in slices(whole, 1, 4_000_000, 2000)):
             names, scores, flags = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
             rows, margins = [], []
             for i, text in enumerate(batch.column(1)):
