@@ -83,29 +83,32 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     No source is ranked in one task: rows are ranked within buckets of a source's order whose number grows with the table, and a
     bucket's first rank is the count of the rows before it (a table of counts, one row for each bucket).
     """
-    md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).cast("binary"))
-    order = F.when(F.col("doc_id").isNull(), F.lit("~")).otherwise(md5)
-    keyed = docs.withColumn("__key", _key()).withColumn("__order", order)
+    names = docs.columns
+    # whatever the columns are called, they travel in one
+    keyed = docs.select(F.col("doc_id").alias("__id"), _key().alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    # rows without doc_id are told apart, as far as they can be, by what else they hold
+    missing = F.concat(F.lit("~"), F.md5(F.to_json("__row").cast("binary")))
+    keyed = keyed.withColumn("__order", F.when(F.col("__id").isNull(), missing).otherwise(F.md5(F.col("__id").cast("string").cast("binary"))))
     sizes = cut(keyed.groupBy(F.col("__key").alias("key")).agg(F.count("*").alias("n")))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    digits = max(1, math.ceil(math.log(max(1, total / RANKED_ROWS), 16)) + 1)
-    keyed = keyed.withColumn("__bucket", F.substring("__order", 1, digits))
+    digits = max(1, math.ceil(math.log(max(1, total / RANKED_ROWS), 16)))
+    keyed = keyed.withColumn("__bucket", F.substring("__order", 1, digits + 1))
     counts = keyed.groupBy(F.col("__key").alias("__k"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__k", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = Window.partitionBy("__key", "__bucket").orderBy("__order", "doc_id")
+    own = Window.partitionBy("__key", "__bucket").orderBy("__order", "__id")
     ranked = keyed.withColumn("__at", F.row_number().over(own) - 1)
     ranked = ranked.join(starts, (F.col("__key") == F.col("__k")) & (F.col("__bucket") == F.col("__b"))).withColumn("__at", F.col("__at") + F.col("__start"))
     plan = cut(period_schedule(period_quotas(sizes, weights, temper, period)))
-    plan = plan.select(F.col("key").alias("__pk"), F.col("turn").alias("__turn"), "quota", "slots", "release", "deadline", "slot")
+    plan = plan.select(F.col("key").alias("__pk"), F.col("turn").alias("__turn"), *[F.col(c).alias(f"__plan_{c}") for c in ("quota", "slots", "release", "deadline", "slot")])
     # PERIOD rows, or ten for each source: the bound is on sources, not on documents
-    per_source = F.broadcast(plan.select(F.col("__pk").alias("__qk"), F.col("quota").alias("__quota"), F.col("slots").alias("__slots")).distinct())
+    per_source = F.broadcast(plan.select(F.col("__pk").alias("__qk"), F.col("__plan_quota").alias("__quota"), F.col("__plan_slots").alias("__slots")).distinct())
     ranked = ranked.withColumn("__block", F.floor(F.col("__at") / F.lit(block_rows))).withColumn("__place", F.pmod(F.col("__at"), F.lit(block_rows)).cast("int"))
     ranked = ranked.join(per_source, F.col("__key") == F.col("__qk")).withColumn("__cycle", F.floor(F.col("__block") / F.col("__quota")))
     ranked = ranked.withColumn("__t", F.pmod("__block", "__quota"))
     out = ranked.join(F.broadcast(plan), (F.col("__key") == F.col("__pk")) & (F.col("__t") == F.col("__turn")))
-    shift = F.col("__cycle") * F.col("slots")
-    return out.select(*docs.columns, "__block", (shift + F.col("slot")).alias("__slot"), (shift + F.col("release")).alias("__release"), (shift + F.col("deadline")).alias("__deadline"), "__place")
+    at = {c: (F.col("__cycle") * F.col("__slots") + F.col(f"__plan_{c}")).alias(f"__{c}") for c in ("slot", "release", "deadline")}
+    return out.select(*[F.col("__row")[c].alias(c) for c in names], "__block", *at.values(), "__place")
 
 
 def oracle(block_rows: int = BLOCK_ROWS, temper: float = TEMPER, period: int = PERIOD) -> str:
