@@ -62,7 +62,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels"))
+    out = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), table(spark, sf_dir, "labels"))
     scores = [F.col(f"__{c}").alias(c) for c in ("quality", "text_score", "page_score")]
     return out.select("doc_id", *scores, (F.col("__quality") >= quality.THRESHOLD).alias("keep"))
 
