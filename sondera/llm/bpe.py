@@ -1,10 +1,14 @@
-"""Byte-level BPE: ranked merges folded by higher-order functions over the distinct words of blocks of texts."""
+"""Byte-level BPE: ranked merges folded by higher-order functions over the byte arrays of distinct words."""
 
 from __future__ import annotations
 
 import base64
 import heapq
 import json
+import re
+import unicodedata
+import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,14 +18,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, unit_hash
 
-#: Characters of text whose words are deduplicated together, words of one row, and characters of one batch.
-BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS = 32_000_000, 512, 4_000_000
-#: The fold takes time in the square of a word's length: longer words (in bytes) are merged with a heap.
-FOLDED_BYTES = 64
-#: Buckets of the literal rank map. Spark looks through a map's keys one after the other, so the map is cut into many.
-BUCKETS = 1 << 16
+#: Characters of text in a block, words of one row, characters of one batch, and rarer words that a task knows before it forgets them.
+BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS, KNOWN_WORDS = 8_000_000, 512, 2_000_000, 300_000
+#: Words that are folded once for the whole table: the most frequent of about so many sampled rows, of at most so many bytes.
+COMMON_WORDS, SAMPLED_ROWS, COMMON_BYTES = 1 << 18, 20_000, 64
+#: The fold takes time in the square of a word's length: longer words (in bytes) are merged by the same rule with a heap.
+FOLDED_BYTES = 16_384
+#: Buckets of the literal rank map.
+BUCKETS = 1 << 15
 NONE = 2_147_483_647
 _MARK = "\x00"
 
@@ -33,8 +39,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """``pattern``'s matches, white space being the Unicode property as in the tiktoken library's engine."""
-    return regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+    """``pattern``'s matches, white space being the Unicode property as in the tiktoken library's engine.
+
+    For texts of Latin-1 characters alone its classes are spelled out for the standard library's faster engine; the matches are the same.
+    """
+    whole = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+    of = lambda kind: "".join(f"\\x{c:02x}" for c in range(256) if unicodedata.category(chr(c))[0] == kind)
+    letters, numbers, spaces = of("L"), of("N"), "\\x09-\\x0d\\x20\\x85\\xa0"
+    spelled = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    spelled = spelled.replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+    if re.search(r"\\[a-zA-Z]", spelled.replace(r"\x", "")):  # another pattern, with classes that are not spelled out
+        return whole
+    latin = re.compile(spelled).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return whole(text)
+        return latin(text)
+
+    return split
 
 
 def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -68,147 +93,244 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small maps, from tokens with one character a byte, placed by their XXH64."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    """The ranks as one literal ``struct<k, v>``: buckets of tokens, placed by their XXH64, and of their ranks."""
+    keys: list[list[str]] = [[] for _ in range(BUCKETS)]
+    values: list[list[int]] = [[] for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        buckets[xxhash.xxh64_intdigest(key.encode(), 42) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        bucket = xxhash.xxh64_intdigest(token, 42) % BUCKETS
+        keys[bucket].append(base64.b64encode(token).decode())
+        values[bucket].append(rank)
+    return F.struct(F.from_json(F.lit(json.dumps(keys)), "array<array<binary>>").alias("k"), F.from_json(F.lit(json.dumps(values)), "array<array<int>>").alias("v"))
 
 
 def _rank(found: Column, piece: Column) -> Column:
-    bucket = F.get(found, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int"))
-    return F.coalesce(F.element_at(bucket, piece), F.lit(NONE))
+    bucket = F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+    return _let(bucket, lambda b: F.coalesce(F.get(F.get(found["v"], b), F.array_position(F.get(found["k"], b), piece).cast("int") - 1), F.lit(NONE)))
 
 
 def _fold(word: Column, found: Column) -> Column:
     """The ids of one word by a fold over its bytes; the state holds the pieces and each adjacent pair's rank."""
+    no_rank = F.array().cast("array<int>")
+    rest = F.lit(1 << 30)
 
     def merge(state: Column, _: Column) -> Column:
         p, r = state["p"], state["r"]
 
-        def at(i: Column) -> Column:
-            new = F.concat(F.get(p, i), F.get(p, i + 1))
-            pieces = F.filter(F.transform(p, lambda x, j: F.when(j == i, new).otherwise(x)), lambda x, j: j != i + 1)
-            pairs = F.transform(r, lambda x, j: F.when(j == i - 1, _rank(found, F.concat(F.get(p, j), new))).when(j == i + 1, _rank(found, F.concat(new, F.get(p, j + 1)))).otherwise(x))
-            return F.struct(pieces.alias("p"), F.filter(pairs, lambda x, j: j != i).alias("r"))
+        def at(i: Column) -> Column:  # the first pair of least rank is the i-th
+            new = F.concat(F.get(p, i - 1), F.get(p, i))
+            pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, rest))
+            left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(_rank(found, F.concat(F.get(p, i - 2), new))))).otherwise(no_rank)
+            right = F.when(i < F.size(r), F.concat(F.array(_rank(found, F.concat(new, F.get(p, i + 1)))), F.slice(r, i + 2, rest))).otherwise(no_rank)
+            return F.struct(pieces.alias("p"), F.concat(left, right).alias("r"))
+
+        # the place of the least rank; null where one piece is left
+        return _let(F.array_position(r, F.array_min(r)).cast("int"), lambda i: F.when(F.coalesce(F.get(r, i - 1), F.lit(NONE)) == NONE, state).otherwise(at(i)))
+
+    def whole(raw: Column) -> Column:
+        n = F.octet_length(raw)
+        pieces = F.transform(F.sequence(F.lit(1), n), lambda j: F.substring(raw, j, F.lit(1)))
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda j: _rank(found, F.substring(raw, j, F.lit(2))))).otherwise(no_rank)
+        merged = F.aggregate(F.sequence(F.lit(2), n), F.struct(pieces.alias("p"), pairs.alias("r")), merge, lambda s: s["p"])
+        ids = F.transform(merged, lambda x: _rank(found, x))
+        return _let(_rank(found, raw), lambda own: F.when(own != NONE, F.array(own)).otherwise(ids))
+
+    return _let(word.cast("binary"), whole)
+
 
-        return _let(F.array_min(r), lambda least: F.when(F.coalesce(least, F.lit(NONE)) == NONE, state).otherwise(_let(F.array_position(r, least).cast("int") - 1, at)))
+def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids of each word of an array of words."""
+    return _let(rank_map(ranks), lambda found: F.transform(words, lambda w: _fold(w, found)))
 
-    def whole(text: Column) -> Column:
-        chars = F.split(text, "")
-        pairs = F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda j: _rank(found, F.concat(F.get(chars, j - 1), F.get(chars, j))))
-        merged = F.aggregate(F.sequence(F.lit(2), F.size(chars)), F.struct(chars.alias("p"), pairs.alias("r")), merge)
-        ids = F.transform(merged["p"], lambda x: _rank(found, x))
-        return _let(_rank(found, text), lambda own: F.when(own != NONE, F.array(own)).otherwise(ids))
 
-    latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    return F.when(F.octet_length(word) <= FOLDED_BYTES, _let(latin, whole))
+def common_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, words: int = COMMON_WORDS, rows: int = SAMPLED_ROWS) -> bytes:
+    """The most frequent words of about ``rows`` rows of ``docs(doc_id, text)`` and their ids, as an Arrow stream that ``opened`` reads.
+
+    At most ``words`` words of at most COMMON_BYTES bytes whatever the table's size. They only save folds: no result depends on them.
+    """
+    share = rows / max(1, docs.count())
+    sampled = docs.where(unit_hash("doc_id", 45) < share) if share < 1 else docs
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = splitter(pattern)
+        counts: Counter[str] = Counter()
+
+        def give() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            counts.clear()
+            return out
+
+        for got in batches(source):
+            for text in got.column(0):
+                counts.update(w for w in split(text.as_py() or "") if len(w) <= COMMON_BYTES)
+                if len(counts) > words:
+                    yield give()
+        yield give()
+
+    counted = sampled.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").where(F.octet_length("word") <= COMMON_BYTES)
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    top = pa.concat_arrays(top.select("word").toArrow().column(0).chunks or [pa.array([], pa.string())])
+    # the fold has a plan of its own: every plan that adaptive execution writes anew would spell out the literal ranks
+    spark = docs.sparkSession
+    if not len(top):
+        return _stream(pa.table({"words": pa.array([], pa.list_(pa.string())), "ids": pa.array([], pa.list_(pa.list_(pa.int32())))}))
+    ends = pa.array([*range(0, len(top), WORDS_A_ROW), len(top)], pa.int32())
+    packed = spark.createDataFrame(pa.table({"words": pa.ListArray.from_arrays(ends, top)}))
+    return _stream(packed.select("words", fold_words(F.col("words"), ranks).alias("ids")).toArrow())
+
+
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+#: The frequent words that this process has read last, by the name of their table.
+_OPENED: dict[str, dict[str, bytes]] = {}
+
+
+def opened(name: str, stream: Callable[[], bytes]) -> dict[str, bytes]:
+    """The words of ``common_words`` with their ids as little-endian 32-bit integers, read once in a process."""
+    if name not in _OPENED:
+        _OPENED.clear()
+        known: dict[str, bytes] = {}
+        for batch in pa.ipc.open_stream(stream()):
+            for words, ids in zip(batch.column(0), batch.column(1), strict=True):
+                known.update(zip(words.as_py(), _split_ids(ids.values), strict=True))
+        _OPENED[name] = known
+    return _OPENED[name]
 
 
-_BLOCK = "kind int, doc_id long, text string, words array<string>"
+def _split_ids(lists: pa.ListArray) -> list[bytes]:
+    raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+    ends = (np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * 4).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``(doc_id, ids array<int>)`` for every row of ``docs(doc_id, text)``, as the tiktoken library encodes it.
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), sampled: DataFrame | None = None) -> DataFrame:
+    """``(*keep, ids array<int>)`` for every row of ``docs(doc_id, text, ...)``, as the tiktoken library encodes it; ``keep`` names long columns.
 
     Each match of ``pattern`` is encoded separately and there are no special tokens. Null and empty texts have no ids;
-    repeated rows and null doc_ids come out as they are; an empty table gives an empty result; extra columns are ignored.
+    repeated rows and null doc_ids come out as they are; an empty table gives an empty result; other columns are ignored.
+    Rows come out in the order in which they lie in their partitions.
 
-    There is no shuffle. A partition's texts are taken in blocks of BLOCK_CHARS; a block gives first its distinct words, whose
-    merges Spark's higher-order functions fold, and then its texts, cut into words; the next step keeps one block's words
-    and writes each text's ids. Words longer than FOLDED_BYTES bytes are merged by the same rule with a heap.
+    The frequent words of ``common_words`` are folded once. For the others there is no shuffle: a partition's texts are taken in blocks
+    of BLOCK_CHARS; a block gives first its distinct words that are new to the task, whose merges Spark's higher-order functions fold, and then its texts, cut
+    into words; the next step keeps the task's words, forgets them all beyond KNOWN_WORDS and writes each text's ids. Words longer than FOLDED_BYTES bytes are merged by
+    the same rule with a heap. ``sampled`` has the same rows, where it is cheaper to read them than to make ``docs`` twice.
     """
+    shared, name = docs.sparkSession.sparkContext.broadcast(common_words(docs if sampled is None else sampled, ranks, pattern)), uuid.uuid4().hex
+    keys = [pa.field(k, pa.int64()) for k in keep]
+    row = pa.schema([pa.field("kind", pa.int32()), *keys, pa.field("text", pa.string()), pa.field("words", pa.list_(pa.string()))])
+    none = [None] * len(keep)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), row.types, strict=True)], schema=row)
 
     def cut_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter(pattern)
+        split, known = splitter(pattern), opened(name, lambda: shared.value)
+        distinct: dict[str, None] = {}
+        seen: set[str] = set()
+        texts: list[tuple] = []
+        held = 0
 
-        def block(rows: list[tuple[int | None, str]]) -> Iterator[pa.RecordBatch]:
-            distinct: dict[str, None] = {}
-            texts = []
-            for _, text in rows:
-                words = split(text)
-                distinct.update(dict.fromkeys(words))
-                texts.append((1, _MARK.join(words)) if _MARK not in text else (2, text))
-            folded = [w for w in distinct if len(w.encode("utf-8", "surrogatepass")) <= FOLDED_BYTES]
-            step = WORDS_A_ROW * 64
-            for low in range(0, len(folded), step):
-                groups = [folded[i : i + WORDS_A_ROW] for i in range(low, min(len(folded), low + step), WORDS_A_ROW)]
-                yield batch([(0, None, None, g) for g in groups])
-            out, held = [(3, None, None, None)], 0
-            for (doc_id, _), (kind, text) in zip(rows, texts, strict=True):
-                out.append((kind, doc_id, text, None))
-                held += len(text)
+        def block() -> Iterator[pa.RecordBatch]:
+            words = [w for w in distinct if len(w) <= FOLDED_BYTES // 4 or len(w.encode("utf-8", "surrogatepass")) <= FOLDED_BYTES]
+            seen.update(words)
+            distinct.clear()
+            group, out, size, held = [], [], 0, 0
+            for w in words:
+                group.append(w)
+                size += len(w)
+                if len(group) == WORDS_A_ROW or size > 16 * WORDS_A_ROW * 8:
+                    out.append((0, *none, None, group))
+                    held += size
+                    group, size = [], 0
                 if held > BATCH_CHARS:
                     yield batch(out)
                     out, held = [], 0
-            yield batch([*out, (4, None, None, None)])
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            kind, ids, text, words = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(text, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["kind", "doc_id", "text", "words"])
+            out += [(0, *none, None, group)] * bool(group)
+            texts.reverse()
+            while texts:
+                out.append(texts.pop())
+                held += len(out[-1][-2])
+                if held > BATCH_CHARS:
+                    yield batch(out)
+                    out, held = [], 0
+            if len(seen) > KNOWN_WORDS:
+                seen.clear()
+                out.append((2, *none, None, None))
+            if out:
+                yield batch(out)
 
-        rows: list[tuple[int | None, str]] = []
-        held = 0
         for got in batches(source):
-            for doc_id, text in zip(got.column(0), got.column(1), strict=True):
-                rows.append((doc_id.as_py(), text.as_py() or ""))
-                held += len(rows[-1][1])
+            ids = [c.to_pylist() for c in got.columns[:-1]]
+            for i, text in enumerate(got.column(got.num_columns - 1)):
+                text = text.as_py() or ""
+                words = split(text)
+                distinct.update((w, None) for w in words if w not in known and w not in seen)
+                texts.append((1, *(c[i] for c in ids), _MARK.join(words), None) if _MARK not in text else (3, *(c[i] for c in ids), text, None))
+                held += len(text)
                 if held >= BLOCK_CHARS:
-                    yield from block(rows)
-                    rows, held = [], 0
-        if rows:
-            yield from block(rows)
+                    yield from block()
+                    held = 0
+        if texts:
+            yield from block()
 
     def join_ids(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter(pattern)
-        known: dict[str, bytes] = {}
+        split, known = splitter(pattern), opened(name, lambda: shared.value)
+        added: list[str] = []
 
         def own(word: str) -> bytes:
             known[word] = ids = np.array(merge_with_heap(word.encode("utf-8", "surrogatepass"), ranks), dtype="<i4").tobytes()
+            added.append(word)
             return ids
 
         for got in batches(source):
             kinds = got.column(0).to_pylist()
-            doc_ids, encoded, sizes = [], [], []
+            named, encoded, sizes = [[] for _ in keep], [], []
+            text_at = 1 + len(keep)
             for i, kind in enumerate(kinds):
                 if kind == 0:
-                    words, lists = got.column(3)[i].as_py(), got.column(4)[i].values
-                    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4")
-                    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * 4
-                    raw, at = flat.tobytes(), 0
-                    for word, end in zip(words, ends.tolist(), strict=True):
-                        known[word] = raw[at:end]
-                        at = end
-                elif kind == 4:
-                    known.clear()
-                elif kind in (1, 2):
-                    text = got.column(2)[i].as_py()
-                    words = split(text) if kind == 2 else text.split(_MARK) if text else []
+                    words = got.column(text_at + 1)[i].as_py()
+                    known.update(zip(words, _split_ids(got.column(text_at + 2)[i].values), strict=True))
+                    added += words
+                elif kind == 2:  # enough words; what all tasks share stays
+                    for word in added:
+                        known.pop(word, None)
+                    added.clear()
+                else:
+                    text = got.column(text_at)[i].as_py()
+                    words = split(text) if kind == 3 else text.split(_MARK) if text else []
                     try:
                         joined = b"".join(map(known.__getitem__, words))
                     except KeyError:
                         joined = b"".join(known[w] if w in known else own(w) for w in words)
-                    doc_ids.append(got.column(1)[i].as_py())
+                    for k, values in enumerate(named):
+                        values.append(got.column(1 + k)[i].as_py())
                     encoded.append(joined)
                     sizes.append(len(joined) // 4)
-            if doc_ids:
+            if sizes:
                 values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(encoded))])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in named), pa.ListArray.from_arrays(offsets, values)], names=[*keep, "ids"])
+        for word in added:  # the next task of this process starts with the shared words alone
+            known.pop(word, None)
 
-    blocks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_words, _BLOCK)
-    folded = _let(rank_map(ranks), lambda found: F.transform("words", lambda w: _fold(w, found)))
-    return blocks.withColumn("ids", folded).mapInArrow(join_ids, "doc_id long, ids array<int>")
+    typed = ", ".join(f"`{k}` long" for k in keep)
+    cut = docs.select(*[F.col(k).cast("long").alias(k) for k in keep], F.col("text").cast("string").alias("text"))
+    blocks = cut.mapInArrow(cut_words, f"kind int, {typed}, text string, words array<string>")
+    return blocks.withColumn("ids", fold_words(F.col("words"), ranks)).mapInArrow(join_ids, f"{typed}, ids array<int>")
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of a column of ids: the pieces, one character a byte in a literal array, put together in order."""
+    """The bytes of a column of ids: the binary pieces of a literal array, put together in order."""
     pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.decode("latin-1")
-    vocabulary = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return _let(vocabulary, lambda v: F.encode(F.array_join(F.transform(ids, lambda i: F.get(v, i)), ""), "ISO-8859-1"))
+        pieces[rank] = base64.b64encode(token).decode()
+    # a string of any bytes: array_join takes strings and puts their bytes together as they are
+    vocabulary = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
+    return _let(vocabulary, lambda v: F.array_join(F.transform(ids, lambda i: F.get(v, i).cast("string")), "").cast("binary"))
 
 
 def digests(encoded: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
