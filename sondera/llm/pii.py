@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, slices
 
 #: Kinds in their order; the patterns find the first four, the network all of them.
 KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match within a run of digits can only begin where the run or the last match does
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -502,8 +502,7 @@ def pii_spans(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for part in slices(batch, 1, 1_000_000, 500):
                 got = find([t or "" for t in part.column(1).to_pylist()], net)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([named(b) for b, _ in got], span), pa.array([named(a) for _, a in got], span)], names=["doc_id", "base", "added"])
 
@@ -512,11 +511,11 @@ def pii_spans(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of ``spans(doc_id, base, added)``."""
+    """``(doc_id, n_email, n_ip, n_card, n_phone, n_spans, base_sha256, spans)`` of ``spans(doc_id, base, added)``; ``n_spans`` counts all."""
     order = lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("kind"))
     spelled = lambda c: F.array_join(F.transform(F.array_sort(F.transform(c, order)), lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return spans.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"))
+    return spans.select("doc_id", *[count(k) for k in KINDS[:4]], (F.size("base") + F.size("added")).cast("long").alias("n_spans"), F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"))
 
 
 __all__ = ["Network", "base_spans", "digest", "find", "pii_spans", "reconcile", "train"]
