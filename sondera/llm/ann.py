@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, finite
+from .common import batches, cut, finite, hash_sample
 from .topk import _matrix, best_of
 
 
@@ -168,7 +168,7 @@ def build(vectors: DataFrame, settings: Settings = Settings()) -> Index | None:
     dim, n, largest = int(stats[0]["dim"]), int(stats[0]["n"]), float(stats[0]["largest"])
     rows = rows.where(F.size("v") == dim)
     s = settings
-    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(s.seed)), "vec_id").limit(s.sample).select("v").toPandas()["v"]
+    drawn = hash_sample(rows, "vec_id", s.seed, s.sample).select("v").toPandas()["v"]
     sample = _augment(np.array(drawn.tolist(), dtype=np.float64), largest)
     lists = max(1, min(s.max_lists, n // s.rows_a_list, len(sample) // 4))
     centroids = fit_centroids(sample, lists, s.seed)
