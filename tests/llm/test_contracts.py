@@ -70,6 +70,20 @@ def test_quality_agrees_with_labels(spark, data):
     assert np.mean(good) >= 0.98 and (not bad or np.mean(bad) <= 0.4)
 
 
+def test_quality_on_labels_that_were_held_out(spark, data):
+    from sondera.llm import quality
+
+    larger = data.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    own = labels.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    scored = quality.score(docs, quality.fit(docs, own.where("not held")))
+    rows = scored.join(own.where("held"), "doc_id").select("quality", "__quality").collect()
+    good = [r["__quality"] >= quality.THRESHOLD for r in rows if r.quality == 1]
+    bad = [r["__quality"] >= quality.THRESHOLD for r in rows if r.quality == 0]
+    assert len(good) > 80 and len(bad) > 5
+    assert np.mean(good) >= 0.95 and np.mean(bad) <= 0.5
+
+
 def test_pipeline_stages(spark, data, tmp_path):
     import corpus_pipeline as P
 

@@ -35,13 +35,51 @@ def test_repeated_chunks_go_but_the_first(spark):
     assert got[2]["__lines_cut"] >= 30 and got[2].text.startswith("another start")
 
 
-def test_boundaries_shift_with_the_text():
+def test_boundaries_depend_on_the_lines_around_them_alone():
     plain = linededup.chunk_ends(LINES)
-    moved = linededup.chunk_ends(["new", *LINES])
-    assert len({e + 1 for e in plain} & set(moved)) >= len(plain) - 3
+    for before in range(7):
+        moved = linededup.chunk_ends([f"other {k}" for k in range(before)] + LINES + ["end"])
+        inside = {e + before for e in plain if 3 <= e <= len(LINES) - 2}
+        assert inside == {e for e in moved if before + 3 <= e <= before + len(LINES) - 2}
     assert all(b - a >= 2 for a, b in zip([0, *plain], plain))
 
 
+@pytest.mark.parametrize(("size", "least"), [(6, 0.2), (12, 0.5), (40, 0.85)])
+def test_share_of_a_copied_passage_that_goes(spark, size, least):
+    rows, rng = [], random.Random(size)
+    line = lambda: " ".join(str(rng.random()) for _ in range(5))
+    for k in range(60):
+        passage = [line() for _ in range(size)]
+        rows += [(2 * k + j, "\n".join([line() for _ in range(rng.randrange(1, 9))] + passage + [line() for _ in range(rng.randrange(1, 9))])) for j in (0, 1)]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("__lines_cut")).first()[0]
+    assert least <= got / (60 * size) <= 1
+
+
+def test_long_lines_that_repeat_go_but_the_first(spark):
+    passage = " ".join(f"word{i}" for i in range(51))
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\nd\n{passage}"), (3, passage), (4, " ".join(passage.split()[:49]) + "\nshort"), (5, "z\n" + " ".join(passage.split()[:49]))]
+    got = {r.doc_id: r.text for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "c\nd", 3: "", 4: rows[3][1], 5: rows[4][1]}
+
+
+def test_line_dedup_against_a_table_of_all_chunks(spark):
+    rng = random.Random(11)
+    lines = [f"line {i}" for i in range(25)] + [" ".join([f"long{i}"] * 55) for i in range(3)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14)))) for i in range(150)]
+    seen, want = set(), {}
+    for i, text in rows:
+        own, kept, first = text.split("\n"), [], 0
+        for end in linededup.chunk_ends(own):
+            chunk = tuple(own[first:end])
+            counts = len(chunk) > 1 or len(chunk[0].split()) >= linededup.LONG_WORDS
+            kept += [] if counts and chunk in seen else chunk
+            seen |= {chunk} if counts else set()
+            first = end
+        want[i] = "\n".join(kept)
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def test_line_dedup_odd_rows(spark):
     df = docs_of(spark, ODD)
     got = linededup.line_dedup(df)
@@ -253,6 +291,12 @@ def test_codewords_are_apart():
         assert len(code) == k and distance.min() >= 1
 
 
+def test_numerals_and_signs_are_no_letters(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house", "en"), ("das haus", "de"), ("²½", None), ("Ⅷ ٣", None), ("12 .,_", None), ("é", None)])]
+    got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i].lang_pred for i in (2, 3, 4)] == ["und"] * 3 and got[5].lang_pred in ("en", "de")
+
+
 def test_language_odd_rows(spark):
     got = langid.language_id(docs_of(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -282,7 +326,7 @@ def test_tiles_find_every_link(spark):
     seeds = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     flips = [np.uint64(0), *(np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)), *((np.uint64(1) << rng.integers(0, 32, 12, dtype=np.uint64)) | (np.uint64(1) << rng.integers(32, 64, 12, dtype=np.uint64)))]
     fps = np.unique(np.concatenate([seeds ^ f for f in flips]))
-    nodes = spark.createDataFrame([(int(x),) for x in fps.view("i8")], "fp long")
+    nodes = spark.createDataFrame([(int(x), int(x)) for x in fps.view("i8")], "id long, fp long")
     links = simhash.tile_links(nodes, simhash.quarter_counts(F.col("fp")), simhash.half_ball(4, 2), 2, "all", tile_rows=16)
     got = {frozenset((r.u, r.v)) for r in links.collect()}
     near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 2, 1))
@@ -310,6 +354,61 @@ def test_near_duplicate_classes(spark):
     assert got == {5: 3, 3: 3, 9: 3, 8: 8, 10: 10}
 
 
+def shingles(text, words=5):
+    parts = text.lower().split()
+    return {" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(4000)]
+    texts = []
+    for _ in range(110):
+        base = [rng.choice(words) for _ in range(rng.choice([6, 40, 150, 400]))]
+        line = " ".join(rng.choice(words) for _ in range(12))
+        texts.append(" ".join(base))
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 8, 12])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+        texts += [" ".join(base) + "\n" + "\n".join([line] * n) for n in (3, 25)]  # equal sets, other counts
+    sets = [shingles(t) for t in texts]
+    by_shingle, pairs = {}, {}
+    for i, own in enumerate(sets):
+        shared = {}
+        for x in own:
+            for j in by_shingle.setdefault(x, []):
+                shared[j] = shared.get(j, 0) + 1
+            by_shingle[x].append(i)
+        pairs |= {(j, i): n / (len(own) + len(sets[j]) - n) for j, n in shared.items()}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = {p: s for p, s in pairs.items() if s >= 0.8}
+    for a, b in linked:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(got) == len(texts)
+    assert all(find(i) == find(c) for i, c in got.items())  # nothing is joined that exact similarity does not join
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        band = [p for p, s in linked.items() if low <= s < high]
+        assert len(band) > 100 and np.mean([got[a] == got[b] for a, b in band]) >= 0.99
+
+
+def test_a_frequent_shingle_joins_nothing(spark):
+    filler = " ".join(["the same five words again"] * 200)
+    rng = random.Random(4)
+    rows = [(i, filler + " " + " ".join(str(rng.random()) for _ in range(300))) for i in range(4)] + [(7, None), (7, "x y z"), (9, "")]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in range(4)} == {0: 0, 1: 1, 2: 2, 3: 3} and set(got) == {0, 1, 2, 3, 7, 9}
+    assert neardup.near_duplicate_classes(docs_of(spark, ODD).limit(0)).count() == 0
+
+
 # ---- nearest neighbours ----
 
 
@@ -354,6 +453,15 @@ def test_mix_keeps_every_row(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_takes_clashing_columns_and_hot_missing_ids(spark):
+    names = ("slot", "slots", "quota", "release", "deadline", "key", "turn", "n", "key_", "__at")
+    df = spark.createDataFrame([(None if i % 2 else i, "a") for i in range(300)], "doc_id long, source string")
+    for name in names:
+        df = df.withColumn(name, F.lit("x"))
+    got = mixing.mix(df, block_rows=8).collect()
+    assert len(got) == 300 == len({(r["__slot"], r["__place"]) for r in got}) and all(r["slot"] == "x" for r in got)
+
+
 def test_weights(spark):
     sizes = spark.createDataFrame([("sa", 10), ("sb", 10), ("n", 10)], "key string, n long")
     got = {r.key: r.quota for r in mixing.period_quotas(sizes, {"a": 3.0, "b": 1.0}, 0.5, 1000).collect()}
