@@ -47,11 +47,10 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The documents have no column for their place, so it is derived again from the same rows, and the output is in that order.
     """
     ranks, pattern = tokenizer()
-    placed = cut(mixing.mix(docs.select("doc_id", "text", "source")).withColumnsRenamed({"__slot": "slot", "__place": "place"}))
-    at = (F.col("slot") * mixing.BLOCK_ROWS + F.col("place")).alias("__at")  # one for each row, also for those that share a doc_id or have none
-    encoded = bpe.encode(placed.select(at.alias("doc_id"), "text"), ranks, pattern).withColumnRenamed("doc_id", "__at")
-    named = encoded.join(placed.select("doc_id", "slot", "place", at), "__at")
-    return bpe.digests(named, ranks, keep_ids=True, keep=("slot", "place")).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+    placed = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "text", F.col("__slot").alias("slot"), F.col("__place").alias("place"))
+    placed = cut(placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place"))
+    encoded = bpe.encode(placed, ranks, pattern, keep=("doc_id", "slot", "place"), sampled=docs)  # keeps the rows' order
+    return bpe.digests(encoded.withColumn("place", F.col("place").cast("int")), ranks, keep_ids=True, keep=("slot", "place"))
 
 
 STAGES = [
