@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import batches, unit_hash
 
 #: Characters of text in a block, words of one row, characters of one batch, and rarer words that a task knows before it forgets them.
-BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS, KNOWN_WORDS = 8_000_000, 512, 2_000_000, 300_000
+BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS, KNOWN_WORDS = 8_000_000, 512, 2_000_000, 60_000
 #: Words that are folded once for the whole table: the most frequent of about so many sampled rows, of at most so many bytes.
-COMMON_WORDS, SAMPLED_ROWS, COMMON_BYTES = 1 << 18, 20_000, 64
+COMMON_WORDS, SAMPLED_ROWS, COMMON_BYTES = 1 << 17, 20_000, 64
 #: The fold takes time in the square of a word's length: longer words (in bytes) are merged by the same rule with a heap.
 FOLDED_BYTES = 16_384
 #: Buckets of the literal rank map.
