@@ -38,7 +38,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
 
     Texts with the same set of ``words``-word shingles, whatever they repeat, are one node. The nodes' fingerprints (of the sets) are compared tile by tile:
     pairs that differ in ``radius`` or fewer bits, whose sets' sizes allow it and whose sketches agree as sets of that similarity
-    do (but for three in ten million) are looked at closely, and linked where the Jaccard similarity of their sets is at least
+    do (but for three in a hundred thousand) are looked at closely, and linked where the Jaccard similarity of their sets is at least
     ``similarity``. Classes are the connected components. Texts without words are a group. Rows without doc_id are left out; rows
     that share one are one, for which the text of the least digest stands. An empty table gives an empty result.
     """
@@ -52,13 +52,13 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
     # sets of similarity s differ in size by a factor s at most
     offsets = [(i, j) for i in range(0, 2) for j in (-1, 0, 1) if (i, j) >= (0, 0)]
     p = (1 + similarity) / 2
-    agree = math.floor(SKETCH_BITS * p - 5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
+    agree = math.floor(SKETCH_BITS * p - 4 * math.sqrt(SKETCH_BITS * p * (1 - p)))
     digests = nodes.select("id", "digest")
 
     def alike(links: DataFrame) -> DataFrame:
         """The links whose shingle sets are similar enough."""
         pairs = cut(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-        asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(digests, "id"))
+        asked = cut(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct().join(digests, "id"))
         texts = docs.join(asked.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         sets = cut(_sets(texts, words).join(asked, ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "set"))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")

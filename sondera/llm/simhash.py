@@ -63,7 +63,7 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 
 #: One bit of each of so many minima of differently mixed shingle hashes: two sets agree in a share (1 + similarity) / 2 of them.
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 _MIXERS = (np.random.default_rng(SEED).integers(0, 1 << 31, SKETCH_BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
@@ -71,8 +71,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     """SKETCH_BITS bits, as 64-bit words, of a set of shingle hashes."""
     small = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     least = np.full(SKETCH_BITS, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for low in range(0, len(small), 512):
-        np.minimum(least, (small[low : low + 512, None] * _MIXERS).min(0), out=least)
+    for low in range(0, len(small), 256):
+        np.minimum(least, (small[low : low + 256, None] * _MIXERS).min(0), out=least)
     return np.packbits((least >> np.uint32(7)).astype(np.uint8) & 1, bitorder="little").view("<i8")
 
 
