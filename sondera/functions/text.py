@@ -11,7 +11,8 @@ CYRILLIC_TWINS = "аеорсхукмтнв"
 LATIN_ONLY = "[dfgijlnqrsuvwz]"
 CYRILLIC_ONLY = "[бгдежзийлпфцчшщъыьэюя]"
 STOPWORDS = "и в во на с со по для к ко о об от из у за а но же ли бы то это как что или при".split()
-# Emoji ranges, the keys of query filters, the headings that an item's parameters use, and prefixes of filter values.
+# Emoji ranges (those that are counted, those that cleaning drops), the keys of query filters, the headings that an item's parameters use, and prefixes of filter values.
+COUNTED_EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 EMOJI = r"[\x{1F000}-\x{1FAFF}☀-➿⬀-⯿️‍⃣]"
 FILTER_KEYS = [
     "Вид услуги", "Тип услуги автосервиса", "Тип услуги", "Онлайн-запись", "Кто оказывает услуги", "Рейтинг пользователя",
@@ -93,7 +94,7 @@ def word_count(c: Column | str) -> Column:
 
 
 def emoji_share(c: Column | str) -> Column:
-    return F.regexp_count(_text(c), F.lit(EMOJI)) / (word_count(c) + 1)
+    return F.regexp_count(_text(c), F.lit(COUNTED_EMOJI)) / (word_count(c) + 1)
 
 
 def up_to_capital(c: Column, max_words: int = 8) -> Column:

@@ -27,17 +27,20 @@ def zones(pairs: DataFrame, items: DataFrame, regions: DataFrame, cover: float =
 def local_pairs(queries: DataFrame, zone: DataFrame, whole: int | None = None) -> DataFrame:
     """``(query_id, item_loc)``: the item locations that are local to each query; a region's are its zone, another's itself.
 
-    An equi-join and a union instead of a condition with OR. Queries for the ``whole`` country have no row: see ``is_local``.
+    An equi-join and a union instead of a condition with OR. Queries for the ``whole`` country have no row: ``mark_local`` takes them beside these, as every location is local to them.
     """
     named = queries.select("query_id", "loc") if whole is None else queries.where(F.col("loc") != whole).select("query_id", "loc")
-    in_zone = named.join(F.broadcast(zone), "loc").select("query_id", "item_loc")
-    same = named.join(F.broadcast(zone.select("loc").distinct()), "loc", "left_anti").select("query_id", F.col("loc").alias("item_loc"))
+    in_zone = named.join(zone, "loc").select("query_id", "item_loc")
+    same = named.join(zone.select("loc").distinct(), "loc", "left_anti").select("query_id", F.col("loc").alias("item_loc"))
     return in_zone.unionByName(same)
 
 
-def mark_local(scored: DataFrame, local: DataFrame) -> DataFrame:
-    """``scored(query_id, item_loc, ...)`` with the flag ``local``."""
+def mark_local(scored: DataFrame, local: DataFrame, everywhere: DataFrame | None = None) -> DataFrame:
+    """``scored(query_id, item_loc, ...)`` with the flag ``local``; to the queries of ``everywhere(query_id)`` all locations are."""
     flags = local.withColumn("__l", F.lit(True))
+    if everywhere is not None:
+        marked = scored.join(flags, ["query_id", "item_loc"], "left").join(everywhere.select("query_id").distinct().withColumn("__w", F.lit(True)), "query_id", "left")
+        return marked.withColumn("local", F.coalesce("__l", "__w", F.lit(False))).drop("__l", "__w")
     return scored.join(flags, ["query_id", "item_loc"], "left").withColumn("local", F.coalesce("__l", F.lit(False))).drop("__l")
 
 

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir``, for tables that a plan refers to many times; as it is where none is named outside local mode."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local") or context.master.startswith("local-cluster") and not named:
+            return df
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sondera-"))
+    return df.checkpoint(eager=True)
+
+
 def dense_ids(df: DataFrame, order: list[str], bucket: Column, name: str) -> DataFrame:
     """Ids from 0 in the order of the unique key ``order``, without ranking the table in one task.
 

@@ -26,10 +26,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = r("lineitem").select(*ORDER)
     places = r("customer").join(F.broadcast(r("nation").select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey", "c_mktsegment")
     x = lines.join(r("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("o_custkey") == F.col("c_custkey"))
-    x = x.join(r("part").select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    x = x.join(r("part").select("p_partkey", T.normalize("p_name").alias("qn"), "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     x = prep.dense_ids(x, ORDER, F.floor(F.col("l_orderkey") / 50_000), "row_id")
     return x.select(
-        F.col("row_id").cast("long"), T.normalize("p_name").alias("qn"),
+        F.col("row_id").cast("long"), "qn",
         F.when(F.col("l_linenumber") % 4 == 0, 1000 + F.col("n_regionkey")).otherwise(F.col("c_nationkey")).cast("int").alias("loc"),
         (F.col("l_linenumber") % 2).cast("int").alias("delivery"),
         F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("filters"),

@@ -86,7 +86,7 @@ def merged_items(spark: SparkSession, sf: str) -> DataFrame:
 _STATIC = f"""SELECT item_id, loc, microcat, category, lat, lon, rating, round(ln(1 + coalesce(reviews, 0)), 6) AS log_reviews, CASE WHEN rating IS NULL THEN 0 ELSE 1 END AS has_rating,
   round(ln(1 + greatest(price, 0)), 6) AS log_price, CASE WHEN price <= 1 THEN 1 ELSE 0 END AS price_is_1, round(ln(1 + greatest(price, 0)) - ln(1 + greatest(median(price) OVER (PARTITION BY loc, microcat), 0)), 6) AS price_rel_med,
   CAST(phone_hidden AS INTEGER) AS phone_hidden, msg_forbidden, len(string_split(title, ' ')) AS title_words, len(string_split(descr, ' ')) AS desc_words, len(string_split(params, ' ')) AS params_words,
-  round(ln(count(*) OVER (PARTITION BY descr)), 6) AS desc_dup, round(ln(count(*) OVER (PARTITION BY {NORM('title')})), 6) AS title_dup, CAST(0 AS DOUBLE) AS emoji_share FROM items"""
+  round(ln(count(*) OVER (PARTITION BY descr)), 6) AS desc_dup, round(ln(count(*) OVER (PARTITION BY {NORM('title')})), 6) AS title_dup, round(len(regexp_extract_all(descr, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]')) / (len(string_split(descr, ' ')) + 1), 6) AS emoji_share FROM items"""
 _ROUNDED = ("log_reviews", "log_price", "price_rel_med", "desc_dup", "title_dup", "emoji_share")
 
 
@@ -117,7 +117,7 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("doc_id", F.md5(F.col("n").cast("binary")).alias("norm_md5"), F.length("n").cast("long").alias("norm_chars"))
 
 
-@query(f"SELECT doc_id, CAST(len({TOKENS('text')}) AS BIGINT) AS tokens, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS words, CAST(0 AS DOUBLE) AS emoji FROM documents")
+@query(f"SELECT doc_id, CAST(len({TOKENS('text')}) AS BIGINT) AS tokens, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS words, len(regexp_extract_all(coalesce(text, ''), '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]')) / (len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) + 1) AS emoji FROM documents")
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     x = A.read(spark, sf, "documents")
     return x.select("doc_id", F.size(T.tokenize("text")).cast("long").alias("tokens"), T.word_count("text").cast("long").alias("words"), T.emoji_share("text").alias("emoji"))
@@ -127,7 +127,7 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    log, items = A.pairs(spark, sf), A.items(spark, sf)
+    log, items = prep.settled(A.pairs(spark, sf)), A.items(spark, sf)
     before, queries_ = A.past(log), A.asked(log)
     regions = context.region_locations(before, items)
     zone = context.zones(before, items, regions)
@@ -194,11 +194,11 @@ A.refresh()
 
 
 def _numbered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    log = A.pairs(spark, sf)
+    log = prep.settled(A.pairs(spark, sf))
     keys = prep.number_keys(log, KEY)
     counts = log.groupBy(*KEY).agg(F.count("*").alias("n"))
     flags = keys.join(counts, KEY).withColumn("has_params", (F.col("filters") != "").cast("int")).withColumn("region", (F.col("loc") >= 1000).cast("int"))
-    return log, flags
+    return log, prep.settled(flags)
 
 
 def _bench_cells(flags: DataFrame) -> DataFrame:
@@ -675,7 +675,7 @@ _HARD = """SELECT qn, item_id, neg, CAST(place AS INTEGER) AS place FROM (SELECT
 A.VIEWS |= {
     "pos": """SELECT qn, item_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY (row_id * 7919 + 42 * 104729) % 1000003, row_id) AS p FROM (SELECT qn, item_id, min(row_id) AS row_id FROM past GROUP BY ALL)) WHERE p <= 5
   ORDER BY (row_id * 7919 + 43 * 104729) % 1000003, row_id LIMIT 1000""",
-    "neg_lists": "SELECT qn, item_id AS neg, r - 1 AS rank FROM (SELECT t.qn, i.item_id, row_number() OVER (PARTITION BY t.qn ORDER BY (i.item_id * 7919 + len(t.qn)) % 1009, i.item_id) AS r FROM (SELECT DISTINCT qn FROM past) t JOIN (SELECT * FROM items WHERE item_id % 10 = 0) i ON true) WHERE r <= 100",
+    "neg_lists": "SELECT qn, item_id AS neg, r - 1 AS rank FROM (SELECT t.qn, i.item_id, row_number() OVER (PARTITION BY t.qn ORDER BY (i.item_id * 7919 + len(t.qn)) % 1009, i.item_id) AS r FROM (SELECT DISTINCT qn, cat FROM past) t JOIN items i ON i.category = t.cat) WHERE r <= 100",
 }
 A.refresh()
 
@@ -684,11 +684,11 @@ A.refresh()
 def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     c = _context(spark, sf)
     positive = hardneg.positives(c["past"], 5, 1000, SEED)
-    texts = c["past"].select("qn").distinct()  # the log's few distinct texts
-    some = c["items"].where("item_id % 10 = 0").select("item_id")
+    # a text's candidates are all items of the categories that it was searched in
+    texts = c["past"].select("qn", F.col("cat").alias("category")).distinct()
     order = (F.col("item_id") * 7919 + F.length("qn")) % 1009
     spot = F.row_number().over(Window.partitionBy("qn").orderBy(order, "item_id"))
-    lists = some.join(F.broadcast(texts)).withColumn("rank", spot - 1).where(F.col("rank") < 100)
+    lists = c["items"].select("item_id", "category").join(texts, "category").withColumn("rank", spot - 1).where(F.col("rank") < 100)
     out = hardneg.negatives(positive, c["past"], lists, c["items"], 2, SEED)
     return out.select("qn", "item_id", "neg", "place")
 

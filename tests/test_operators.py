@@ -120,3 +120,11 @@ def test_streaming_popularity(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.event_type, r.n, r.users) for r in spark.sql("select * from pop").collect()] == [("view", 2, 2)]
+
+
+def test_every_location_is_local_to_a_search_of_the_whole_country(spark):
+    scored = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 6)], "query_id long, item_loc int")
+    local = spark.createDataFrame([(1, 5)], "query_id long, item_loc int")
+    everywhere = spark.createDataFrame([(2,)], "query_id long")
+    got = {(r.query_id, r.item_loc): r.local for r in context.mark_local(scored, local, everywhere).collect()}
+    assert got == {(1, 5): True, (1, 6): False, (2, 5): True, (2, 6): True}

@@ -66,3 +66,9 @@ def test_haversine(spark):
     assert value(spark, km, a=1.0, b=2.0, c=1.0, d=2.0) == 0.0
     assert value(spark, km, a=0.0, b=0.0, c=0.0, d=180.0) == pytest.approx(6371 * math.pi)
     assert spark.sql("select double(null) a, 0d b, 0d c, 0d d").select(km).first()[0] is None
+
+
+def test_counted_emoji_are_not_those_that_cleaning_drops(spark):
+    rows = [("a \u2b50 b",), ("1\ufe0f\u20e3 b",), ("x \U0001f600\u2600 y",), ("\U0001f004 z",), (None,)]
+    got = [r.e for r in spark.createDataFrame(rows, "t string").select(T.emoji_share("t").alias("e")).collect()]
+    assert [round(e, 6) for e in got] == [0, 0, 0.5, 0, 0]
