@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -208,6 +209,27 @@ def test_base_spans_match_the_patterns():
         assert [s for s in pii.base_spans(text) if s[0] == 0] == want, text
 
 
+def test_base_spans_of_every_kind_match_the_patterns():
+    rng = random.Random(6)
+    pieces = ["a.b@c.d", "@", "1.2.3.4", "256.1.1.1", "0001.2.3.255", ".5", "7", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "+49", " ", "-", "é", "9" * 25, "x", "\n", "٣", "²"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(9))
+        want = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            own = [int(c) for c in m[0] if c in "0123456789"]
+            total = sum(own[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in own[-2::-2])
+            want += [(2, m.start(), m.end())] * (13 <= len(own) <= 19 and total % 10 == 0)
+        want += [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c in "0123456789" for c in m[0]) <= 15]
+        assert sorted(pii.base_spans(text)) == sorted(want), text
+
+
+def test_a_long_run_of_digits_is_read_once():
+    began = time.time()
+    assert pii.base_spans("1" * 1_000_000) == [] and pii.base_spans("1." * 3 + "2" * 300_000) == []
+    assert time.time() - began < 5
+
+
 def test_network_finds_what_patterns_miss(network):
     x, y = pii.labelled_windows(200, seed=9)
     tags, _ = network.decode(x)
