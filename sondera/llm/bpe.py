@@ -8,13 +8,13 @@ import json
 import re
 import unicodedata
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +26,12 @@ BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS, KNOWN_WORDS = 8_000_000, 512, 2_000_000,
 COMMON_WORDS, SAMPLED_ROWS, COMMON_BYTES = 1 << 17, 20_000, 64
 #: The fold takes time in the square of a word's length: longer words (in bytes) are merged by the same rule with a heap.
 FOLDED_BYTES = 16_384
-#: Buckets of the literal rank map.
-BUCKETS = 1 << 15
-NONE = 2_147_483_647
+#: Bits of an id and of a place in a word; the rank of what has none, above all ids.
+ID_BITS = 20
+NONE = 1 << ID_BITS
+#: Buckets of the literal rank map, and places in which the CRC-32 of no two bytes meet.
+BUCKETS = 65_521
+BYTE_PLACES = next(m for m in range(256, 1 << 20) if len({zlib.crc32(bytes([b])) % m for b in range(256)}) == 256)
 _MARK = "\x00"
 
 
@@ -62,9 +65,12 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return split
 
 
-def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word: the adjacent pair of least rank, the first of equals, is merged until none has a rank."""
-    if word in ranks:
+def merge_with_heap(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
+    """The ids of one word: the adjacent pair of least rank, the first of equals, is merged until none has a rank.
+
+    A word that is a token is that one, unless ``whole`` is false.
+    """
+    if whole and word in ranks:
         return [ranks[word]]
     n = len(word)
     pieces: list[bytes | None] = [word[i : i + 1] for i in range(n)]
@@ -93,53 +99,88 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal ``struct<k, v>``: buckets of tokens, placed by their XXH64, and of their ranks."""
-    keys: list[list[str]] = [[] for _ in range(BUCKETS)]
-    values: list[list[int]] = [[] for _ in range(BUCKETS)]
+    """One literal struct: ``pairs``, buckets of the adjacent pairs of ids that have a rank, each with it; ``bytes``, the ids of single bytes."""
+    pairs: list[list[int]] = [[] for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        bucket = xxhash.xxh64_intdigest(token, 42) % BUCKETS
-        keys[bucket].append(base64.b64encode(token).decode())
-        values[bucket].append(rank)
-    return F.struct(F.from_json(F.lit(json.dumps(keys)), "array<array<binary>>").alias("k"), F.from_json(F.lit(json.dumps(values)), "array<array<int>>").alias("v"))
-
-
-def _rank(found: Column, piece: Column) -> Column:
-    bucket = F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-    return _let(bucket, lambda b: F.coalesce(F.get(F.get(found["v"], b), F.array_position(F.get(found["k"], b), piece).cast("int") - 1), F.lit(NONE)))
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                pair = left << ID_BITS | right
+                pairs[pair % BUCKETS].append(pair << (ID_BITS + 1) | rank)
+    ids = [-1] * BYTE_PLACES
+    for byte in range(256):
+        ids[zlib.crc32(bytes([byte])) % BYTE_PLACES] = ranks[bytes([byte])]
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    return F.struct(literal(pairs, "array<array<bigint>>").alias("pairs"), literal(ids, "array<bigint>").alias("bytes"))
+
+
+def _rank(found: Column, left: Column, right: Column) -> Column:
+    """The rank of two adjacent ids; NONE where they do not merge."""
+    # array_position leaves its loop by an exception where it finds something, which takes far longer than these small buckets
+    held = lambda pair: F.get(found["pairs"], (pair % F.lit(BUCKETS)).cast("int"))
+    take = lambda pair: lambda had, x: F.when(F.shiftright(x, ID_BITS + 1) == pair, x.bitwiseAND(_long((1 << (ID_BITS + 1)) - 1))).otherwise(had)
+    return _let(F.shiftleft(left, ID_BITS).bitwiseOR(right), lambda pair: F.coalesce(F.aggregate(held(pair), _long(NONE), take(pair)), _long(NONE)))
 
 
 def _fold(word: Column, found: Column) -> Column:
-    """The ids of one word by a fold over its bytes; the state holds the pieces and each adjacent pair's rank."""
-    no_rank = F.array().cast("array<int>")
-    rest = F.lit(1 << 30)
+    """The ids of one word by a fold over its bytes.
+
+    The state is an array of longs, one for each piece: the rank of the piece with the next one, the place of its first byte, its id.
+    The least is the pair to merge, the first of equals. A piece that merges with nothing stands at either end.
+    """
+    edge, rest = _long((1 << ID_BITS) - 1), F.lit(1 << 30)
+    id_of = lambda x: x.bitwiseAND(_long((1 << ID_BITS) - 1))
+    place = lambda x: x.bitwiseAND(_long(((1 << ID_BITS) - 1) << ID_BITS))
+    ranked = lambda rank, piece: F.shiftleft(rank, 2 * ID_BITS).bitwiseOR(piece)
 
     def merge(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        def at(least: Column) -> Column:
+            new = F.shiftright(least, 2 * ID_BITS)  # a pair's rank is the id of what it becomes
+
+            def joined(i: Column) -> Column:  # pieces i and i + 1, counted from 0, become one
+                last = F.get(state, i - 1)
+                before = ranked(_rank(found, id_of(last), new), place(last).bitwiseOR(id_of(last)))
+                own = ranked(_rank(found, new, id_of(F.get(state, i + 2))), place(least).bitwiseOR(new))
+                return F.flatten(F.array(F.slice(state, F.lit(1), i - 1), F.array(before, own), F.slice(state, i + 3, rest)))
 
-        def at(i: Column) -> Column:  # the first pair of least rank is the i-th
-            new = F.concat(F.get(p, i - 1), F.get(p, i))
-            pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, rest))
-            left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(_rank(found, F.concat(F.get(p, i - 2), new))))).otherwise(no_rank)
-            right = F.when(i < F.size(r), F.concat(F.array(_rank(found, F.concat(new, F.get(p, i + 1)))), F.slice(r, i + 2, rest))).otherwise(no_rank)
-            return F.struct(pieces.alias("p"), F.concat(left, right).alias("r"))
+            where = _let(place(least), lambda first: F.size(F.filter(state, lambda x: place(x) < first)))
+            return F.when(least >= _long(NONE << (2 * ID_BITS)), state).otherwise(_let(where, joined))
 
-        # the place of the least rank; null where one piece is left
-        return _let(F.array_position(r, F.array_min(r)).cast("int"), lambda i: F.when(F.coalesce(F.get(r, i - 1), F.lit(NONE)) == NONE, state).otherwise(at(i)))
+        return _let(F.array_min(state), at)
 
     def whole(raw: Column) -> Column:
         n = F.octet_length(raw)
-        pieces = F.transform(F.sequence(F.lit(1), n), lambda j: F.substring(raw, j, F.lit(1)))
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda j: _rank(found, F.substring(raw, j, F.lit(2))))).otherwise(no_rank)
-        merged = F.aggregate(F.sequence(F.lit(2), n), F.struct(pieces.alias("p"), pairs.alias("r")), merge, lambda s: s["p"])
-        ids = F.transform(merged, lambda x: _rank(found, x))
-        return _let(_rank(found, raw), lambda own: F.when(own != NONE, F.array(own)).otherwise(ids))
+        byte = lambda j: F.get(found["bytes"], (F.crc32(F.substring(raw, j, F.lit(1))) % F.lit(BYTE_PLACES)).cast("int"))
+        pieces = F.concat(F.array(edge), F.transform(F.sequence(F.lit(1), n), byte), F.array(edge))
+
+        def start(p: Column) -> Column:
+            piece = lambda j: F.shiftleft(j.cast("long"), ID_BITS).bitwiseOR(F.get(p, j))
+            return F.transform(F.sequence(F.lit(0), n + 1), lambda j: ranked(_rank(found, F.get(p, j), F.get(p, j + 1)), piece(j)))
+
+        return F.aggregate(F.sequence(F.lit(2), n), _let(pieces, start), merge, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: id_of(x).cast("int")))
 
     return _let(word.cast("binary"), whole)
 
 
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
 def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of each word of an array of words."""
-    return _let(rank_map(ranks), lambda found: F.transform(words, lambda w: _fold(w, found)))
+    """The ids of each word of an array of words that are not null or empty.
+
+    A word that is itself a token is that token; the fold gives the same for all but those tokens that their own merges do not reach.
+    """
+    if max(ranks.values()) >= (1 << ID_BITS) - 1:
+        raise ValueError(f"ids of more than {ID_BITS} bits")
+    odd = [t for t in ranks if merge_with_heap(t, ranks, whole=False) != [ranks[t]]]
+    folded = lambda found: lambda w: _fold(w, found)
+    if odd:
+        own = F.from_json(F.lit(json.dumps([[base64.b64encode(t).decode() for t in odd]])), "array<array<binary>>")
+        ids = F.array(*[F.lit(ranks[t]) for t in odd])
+        at = lambda w: F.array_position(F.get(own, F.lit(0)), w.cast("binary")).cast("int")
+        folded = lambda found: lambda w: F.when(at(w) > 0, F.array(F.get(ids, at(w) - 1))).otherwise(_fold(w, found))
+    return _let(rank_map(ranks), lambda found: F.transform(words, folded(found)))
 
 
 def common_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, words: int = COMMON_WORDS, rows: int = SAMPLED_ROWS) -> bytes:

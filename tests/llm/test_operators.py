@@ -501,3 +501,12 @@ def test_quality_odd_rows(spark):
     assert quality.quality(df.limit(0), labels.limit(0)).count() == 0
     two = spark.createDataFrame([(2, 0, 0), (3, 1, 0), (6, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
     assert all(0 <= r["__quality"] <= 1 for r in quality.quality(df, two).collect())
+
+
+def test_fold_gives_tokens_that_merges_do_not_reach(spark):
+    """A token without a merge that leads to it stands for itself as a whole word only; equal ranks merge from the left."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"aa": 257, b"xyz": 258, b"bab": 259}
+    words = ["xyz", "xyzz", "aaa", "aaaa", "bab", "abab", "x", "\u00e9", "ab" * 40]
+    rows = spark.createDataFrame([(words,)], "words array<string>").select(bpe.fold_words(F.col("words"), ranks).alias("ids")).first().ids
+    assert rows == [bpe.merge_with_heap(w.encode(), ranks) for w in words]
+    assert rows[0] == [258] and rows[1] == [120, 121, 122, 122] and rows[2] == [257, 97]
