@@ -50,13 +50,16 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def train_ranker(table: DataFrame, seed: int = 42, rounds: int = 20) -> PipelineModel:
-    """A pointwise gradient-boosted ranker on the groups that have a positive; a tenth of the queries decides when to stop."""
+    """A pointwise gradient-boosted ranker on the groups that have a positive; a tenth of the queries, if that is any, decides when to stop."""
     good = table.groupBy("query_id").agg(F.max("label").alias("m")).where("m > 0").select("query_id")
     rows = table.join(good, "query_id", "left_semi").na.fill(-1.0)
     held = (F.pmod(shuffled(F.xxhash64("query_id") % 1000003, seed), F.lit(10)) == 0).alias("held")
     rows = rows.select("*", held)
     columns = feature_columns(table)
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="keep"), GBTRegressor(featuresCol="x", labelCol="label", validationIndicatorCol="held", maxIter=rounds, maxDepth=4, seed=seed)]).fit(rows)
+    trees = GBTRegressor(featuresCol="__features", labelCol="label", maxIter=rounds, maxDepth=4, seed=seed)
+    if not rows.where("held").isEmpty():  # a table of few queries may have none to decide by
+        trees.setParams(validationIndicatorCol="held")
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__features", handleInvalid="keep"), trees]).fit(rows)
 
 
 def rank(model: PipelineModel, table: DataFrame) -> DataFrame:

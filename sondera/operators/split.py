@@ -99,3 +99,10 @@ def corpora(items: DataFrame, bench: DataFrame, held: DataFrame) -> DataFrame:
 def context_rows(pairs: DataFrame, part: DataFrame, for_part: str) -> DataFrame:
     """Rows that may inform a part: all for the benchmark, otherwise those of no held-out query's share."""
     return pairs if for_part == "bench" else pairs.join(part.where(F.col("part") == "base").select("row_id"), "row_id", "left_semi")
+
+
+def eligible(items: DataFrame, required: dict[str, object]) -> DataFrame:
+    """The items that have every required value; an item whose value is not known is not eligible."""
+    for column, value in required.items():
+        items = items.where(F.col(column) == F.lit(value))
+    return items

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +50,26 @@ def load_candidates(spark: SparkSession, path: str, part: str, source: str | Non
     return df.where(F.col("source") == source) if source else df
 
 
+def save_class_probabilities(probabilities: DataFrame, path: str, part: str) -> None:
+    """``(query_id, microcat, p)`` in a table partitioned by part; a part is replaced as a whole."""
+    out = probabilities.select("query_id", "microcat", F.col("p").cast("float"), F.lit(part).alias("part"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def load_class_probabilities(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """``(query_id, microcat, p)`` of one part; only its folder is read."""
+    return spark.read.parquet(path).where(F.col("part") == part).select("query_id", "microcat", "p")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """A fitted classifier or ranker; an older one at ``path`` is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def write_answer(answers: DataFrame, path: str) -> None:
     """``(query_id, answer)`` as CSV with a header."""
     answers.select("query_id", "answer").write.mode("overwrite").option("header", True).csv(path)
@@ -82,3 +103,16 @@ def update_cache(wanted: DataFrame, path: str, key: str, compute) -> DataFrame:
         missing = wanted
     compute(missing).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def cached_embeddings(texts: DataFrame, path: str, model: str, prefix: str, max_length: int, encode) -> DataFrame:  # noqa: ANN001
+    """``(text, vector)`` of every different ``text`` that is not null; ``encode`` is called for those that are not yet in the cache.
+
+    A vector belongs to a model, a prefix and a length as well as to its text, so changed settings never read another's vectors.
+    ``encode`` takes ``(digest, text)``, whose text has the prefix before it, and gives ``(digest, vector)``.
+    """
+    digest = F.sha2(F.to_json(F.struct(F.lit(model), F.lit(prefix), F.lit(max_length), F.col("text"))), 256)
+    wanted = texts.where("text is not null").select("text").distinct().withColumn("digest", digest)
+    prefixed = wanted.select("digest", F.concat(F.lit(prefix), "text").alias("text"))
+    vectors = update_cache(prefixed, path, "digest", encode)
+    return wanted.join(vectors.select("digest", "vector"), "digest").select("text", "vector")

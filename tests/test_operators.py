@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondera.operators import candidates as C
-from sondera.operators import context, evaluate, fusion, lemmas, lexical, prep, split
+from sondera.operators import context, evaluate, fusion, lemmas, lexical, models, prep, split
 from sondera.sources import tables
 
 
@@ -128,3 +128,44 @@ def test_every_location_is_local_to_a_search_of_the_whole_country(spark):
     everywhere = spark.createDataFrame([(2,)], "query_id long")
     got = {(r.query_id, r.item_loc): r.local for r in context.mark_local(scored, local, everywhere).collect()}
     assert got == {(1, 5): True, (1, 6): False, (2, 5): True, (2, 6): True}
+
+
+def test_class_probabilities_replace_one_part(spark, tmp_path):
+    path, schema = str(tmp_path / "p"), "query_id long, microcat string, p double"
+    tables.save_class_probabilities(spark.createDataFrame([(1, "a", 0.25), (2, None, 0.5)], schema), path, "val")
+    tables.save_class_probabilities(spark.createDataFrame([(3, "b", 1.0)], schema), path, "test")
+    tables.save_class_probabilities(spark.createDataFrame([(1, "a", 0.75)], schema), path, "val")
+    got = [sorted(map(tuple, tables.load_class_probabilities(spark, path, part).collect())) for part in ("val", "test", "none")]
+    assert got == [[(1, "a", 0.75)], [(3, "b", 1.0)], []]
+
+
+def test_embeddings_are_made_once_for_each_setting(spark, tmp_path):
+    asked = []
+
+    def encode(rows):
+        asked.append(sorted(r.text for r in rows.collect()))
+        return rows.select("digest", F.array(F.length("text").cast("double")).alias("vector"))
+
+    def cached(words, prefix):
+        texts = spark.createDataFrame([(w,) for w in words], "text string")
+        return sorted(map(tuple, tables.cached_embeddings(texts, str(tmp_path / "e"), "m", prefix, 64, encode).collect()))
+
+    assert cached(["a", "bb", "a", None], "q: ") == [("a", [4.0]), ("bb", [5.0])]
+    assert cached(["bb", "ccc"], "q: ") == [("bb", [5.0]), ("ccc", [6.0])]
+    assert cached(["bb"], "") == [("bb", [2.0])]
+    assert asked == [["q: a", "q: bb"], ["q: ccc"], ["bb"]]
+
+
+def test_a_model_read_again_gives_the_same_scores(spark, tmp_path):
+    table = spark.createDataFrame([(q, i, float(i % 3 == 0), float(i % 3)) for q in range(20) for i in range(6)], "query_id long, item_id long, label double, x double")
+    model = models.train_ranker(table, rounds=2)
+    for _ in range(2):  # the second replaces the first
+        tables.save_model(model, str(tmp_path / "m"))
+    scores = [sorted(map(tuple, models.rank(m, table).collect())) for m in (model, tables.load_model(str(tmp_path / "m")))]
+    assert scores[0] == scores[1] and len(scores[0]) == 120
+
+
+def test_unknown_values_are_not_eligible(spark):
+    items = spark.createDataFrame([(1, 114, 0), (2, 114, 1), (3, 114, None), (4, None, 0)], "item_id long, category int, delivery int")
+    assert [r.item_id for r in split.eligible(items, {"category": 114, "delivery": 0}).collect()] == [1]
+    assert split.eligible(items, {}).count() == 4
