@@ -94,8 +94,8 @@ def merge_with_heap(word: bytes, ranks: dict[bytes, int], whole: bool = True) ->
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+    """``then(value)`` with ``value`` computed once: a fold over nothing that starts from ``value`` and ends in ``then``; it makes no array."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, then)
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
