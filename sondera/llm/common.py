@@ -91,6 +91,9 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str = "n") -> D
 
 
 def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches that have rows; what Arrow holds of those before is given back to the system, as workers outlive their tasks."""
     for batch in source:
         if batch.num_rows:
             yield batch
+        del batch
+        pa.default_memory_pool().release_unused()

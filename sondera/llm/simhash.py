@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .common import batches, ceil_div, cut, join_hot, parallelism, slices
 from .components import connected_components
 
-#: Rows of one tile, bytes of the tiles that one task compares together, bytes of text hashed and shingles counted at once.
+#: Rows of one tile, bytes of the tiles that one task compares together, bytes of text hashed and shingles counted at once (the sums by
+#: text copy the counted bits as 64-bit numbers, 512 bytes a shingle).
 TILE_ROWS, BUNDLE_BYTES = 4096, 16_000_000
-HASHED_AT_ONCE, COUNTED_AT_ONCE = 2_000_000, 200_000
+HASHED_AT_ONCE, COUNTED_AT_ONCE = 2_000_000, 40_000
 SEED = 42
 
 
@@ -59,7 +60,11 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[: len(parts) - words] + 1])
     del parts
-    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), "<u8", len(starts))
+    stops, out = ends[words - 1 :], np.empty(len(starts), dtype="<u8")
+    for low in range(0, len(starts), COUNTED_AT_ONCE):  # a very long text's places are not all Python's numbers at once
+        some = slice(low, low + COUNTED_AT_ONCE)
+        out[some] = [digest(joined[s:e], SEED) for s, e in zip(starts[some].tolist(), stops[some].tolist(), strict=True)]
+    return out
 
 
 #: One bit of each of so many minima of differently mixed shingle hashes: two sets agree in a share (1 + similarity) / 2 of them.
