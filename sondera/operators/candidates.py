@@ -38,9 +38,33 @@ def allowed(scored: DataFrame, service: str = SERVICE) -> DataFrame:
     return scored.where((F.col("cat") != service) | (F.col("item_cat") == service))
 
 
+def shortlist(placed: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """The first ``depth`` rows of each ``keys``, of the service category's items and of the others: the longest list with these keys needs no more."""
+    own = F.coalesce(F.col("item_cat") == SERVICE, F.lit(False))
+    place = F.row_number().over(Window.partitionBy(*keys, own).orderBy(F.desc("score"), F.asc("item_id")))
+    return placed.withColumn("__p", place).where(F.col("__p") <= depth).drop("__p")
+
+
+def at_places(items: DataFrame, *more: str) -> DataFrame:
+    return items.select("item_id", F.col("loc").alias("item_loc"), F.col("category").alias("item_cat"), *more)
+
+
+def of_texts(scored: DataFrame, queries: DataFrame, items: DataFrame, local: DataFrame, depth: int) -> DataFrame:
+    """Each query's list, local ones first, of ``scored(qn, item_id, score)``, whose scores depend on the query's text alone.
+
+    A text's first ``depth`` items at each location and in all are found once, not once a query.
+    """
+    placed = scored.join(at_places(items), "item_id")
+    mine = queries.select("query_id", "qn", "cat")
+    near = allowed(mine.join(local, "query_id").join(shortlist(placed, ["qn", "item_loc"], depth), ["qn", "item_loc"])).withColumn("local", F.lit(True))
+    far = mark_local(allowed(mine.join(shortlist(placed, ["qn"], depth), "qn")), local).where(~F.col("local"))
+    columns = ["query_id", "item_id", "score", "local"]
+    return top(near.select(*columns).unionByName(far.select(*columns)), depth, local_first=True)
+
+
 def with_places(scored: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
     """Scores with the query's category and the item's location and category, hard filter applied."""
-    x = scored.join(items.select("item_id", F.col("loc").alias("item_loc"), F.col("category").alias("item_cat")), "item_id")
+    x = scored.join(at_places(items), "item_id")
     return allowed(x.join(queries.select("query_id", "cat"), "query_id"))
 
 
@@ -80,47 +104,47 @@ def fill(answers: DataFrame, queries: DataFrame, items: DataFrame, local: DataFr
 def memory_same_place(pairs: DataFrame, queries: DataFrame, items: DataFrame, depth: int) -> DataFrame:
     """Items chosen for the same text in the same search location, by how often."""
     counts = pairs.groupBy("qn", "loc", "item_id").agg(F.count("*").alias("score"))
-    found = queries.select("query_id", "qn", "loc").join(counts, ["qn", "loc"]).select("query_id", "item_id", "score")
-    return top(with_places(found, queries, items), depth)
+    best = shortlist(counts.join(at_places(items), "item_id"), ["qn", "loc"], depth)
+    return top(allowed(queries.select("query_id", "qn", "loc", "cat").join(best, ["qn", "loc"])), depth)
 
 
 @source("memory_any")
 def memory_anywhere(pairs: DataFrame, queries: DataFrame, items: DataFrame, local: DataFrame, depth: int) -> DataFrame:
     """Items chosen for the same text anywhere, local ones first."""
-    counts = pairs.groupBy("qn", "item_id").agg(F.count("*").alias("score"))
-    found = queries.select("query_id", "qn").join(counts, "qn").select("query_id", "item_id", "score")
-    return top(mark_local(with_places(found, queries, items), local), depth, local_first=True)
+    return of_texts(pairs.groupBy("qn", "item_id").agg(F.count("*").alias("score")), queries, items, local, depth)
 
 
 @source("similar")
 def similar_queries(neighbours: DataFrame, pairs: DataFrame, queries: DataFrame, items: DataFrame, local: DataFrame, depth: int, nearest: int = 30) -> DataFrame:
-    """Items of the ``nearest`` most similar past texts, by the sum of similarity times count. ``neighbours(query_id, qn, sim)``."""
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "qn"))
+    """Items of the ``nearest`` most similar past texts, by the sum of similarity times count. ``neighbours(text, qn, sim)`` of each different text."""
+    place = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("sim"), "qn"))
     near = neighbours.where("sim > 0").withColumn("p", place).where(F.col("p") <= nearest)
     counts = pairs.groupBy("qn", "item_id").agg(F.count("*").alias("n"))
-    found = near.join(counts, "qn").groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("sim") * F.col("n")), 9).alias("score"))
-    return top(mark_local(with_places(found, queries, items), local), depth, local_first=True)
+    found = near.join(counts, "qn").groupBy(F.col("text").alias("qn"), "item_id").agg(F.round(F.sum(F.col("sim") * F.col("n")), 9).alias("score"))
+    return of_texts(found, queries, items, local, depth)
 
 
 @source("popular")
 def popular_local(popular: DataFrame, queries: DataFrame, items: DataFrame, local: DataFrame, depth: int) -> DataFrame:
-    """The most chosen local items. The first ``depth`` of a location and category are found once, not once a query."""
-    x = items.select("item_id", F.col("loc").alias("item_loc"), F.col("category").alias("item_cat")).join(popular, "item_id").where("chosen > 0")
-    place = F.row_number().over(Window.partitionBy("item_loc", "item_cat").orderBy(F.desc("chosen"), "item_id"))
-    short = x.withColumn("p", place).where(F.col("p") <= depth).drop("p")
-    found = allowed(local.join(queries.select("query_id", "cat"), "query_id").join(short, "item_loc"))
-    return top(found.select("query_id", "item_id", F.col("chosen").alias("score")), depth)
+    """The most chosen local items. The first ``depth`` of a location are found once, not once a query."""
+    x = at_places(items).join(popular.withColumnRenamed("chosen", "score"), "item_id").where("score > 0")
+    return top(allowed(local.join(queries.select("query_id", "cat"), "query_id").join(shortlist(x, ["item_loc"], depth), "item_loc")), depth)
 
 
 @source("microcat")
 def microcat_candidates(classes: DataFrame, queries: DataFrame, items: DataFrame, popular: DataFrame, local: DataFrame, depth: int, best: int = 3) -> DataFrame:
-    """Local items of a query's ``best`` likeliest classes, by p * (1 + chosen + reviews / 1000 on a log scale). ``classes(query_id, microcat, p)``."""
+    """Local items of a query's ``best`` likeliest classes, by p * (1 + chosen + reviews / 1000 on a log scale). ``classes(query_id, microcat, p)``.
+
+    Queries that give a class the same p share its first ``depth`` items of each location, found by the rounded score.
+    """
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("p"), "microcat"))
     likely = classes.withColumn("r", place).where(F.col("r") <= best).select("query_id", "microcat", "p")
     worth = 1 + F.coalesce("chosen", F.lit(0)) + F.lit(1e-3) * F.log1p(F.coalesce("reviews", F.lit(0)).cast("double"))
-    x = items.select("item_id", "microcat", F.col("loc").alias("item_loc"), F.col("category").alias("item_cat"), "reviews").join(popular, "item_id", "left").withColumn("worth", worth)
-    found = likely.join(local, "query_id").join(x, ["microcat", "item_loc"]).join(queries.select("query_id", "cat"), "query_id")
-    return top(allowed(found).select("query_id", "item_id", F.round(F.col("p") * F.col("worth"), 9).alias("score")), depth)
+    x = at_places(items, "microcat", "reviews").join(popular, "item_id", "left").withColumn("worth", worth)
+    scored = likely.select("microcat", "p").distinct().join(x, "microcat").withColumn("score", F.round(F.col("p") * F.col("worth"), 9))
+    short = shortlist(scored, ["microcat", "p", "item_loc"], depth)
+    found = likely.join(local, "query_id").join(short, ["microcat", "p", "item_loc"]).join(queries.select("query_id", "cat"), "query_id")
+    return top(allowed(found), depth)
 
 
 def dense_scores(queries: DataFrame, items: DataFrame) -> DataFrame:

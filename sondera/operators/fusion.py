@@ -25,10 +25,15 @@ def pool(lists: dict[str, DataFrame], depths: dict[str, int], behavioural: set[s
     return stacked.groupBy("query_id", "item_id").agg(F.count("*").alias("n_sources"), *columns)
 
 
-def with_label(candidates: DataFrame, answers: DataFrame) -> DataFrame:
-    """``label`` 1 where the item is among the query's answers."""
-    gold = answers.select("query_id", F.explode("answers").alias("item_id")).distinct().withColumn("__g", F.lit(1))
-    return candidates.join(gold, ["query_id", "item_id"], "left").withColumn("label", F.coalesce("__g", F.lit(0))).drop("__g")
+def spread(candidates: DataFrame, members: DataFrame) -> DataFrame:
+    """The candidates of one query for every query that is like it, with the columns of ``members(like, query_id, ...)``."""
+    return candidates.withColumnRenamed("query_id", "like").join(members, "like").drop("like")
+
+
+def with_label(candidates: DataFrame, members: DataFrame) -> DataFrame:
+    """``candidates`` spread to ``members(like, query_id, answers, ...)``, with ``label`` 1 where the item is among the query's answers."""
+    hit = F.coalesce(F.array_contains("answers", F.col("item_id")), F.lit(False))
+    return spread(candidates, members).withColumn("label", hit.cast("int")).drop("answers")
 
 
 def field_features(candidates: DataFrame, terms: DataFrame, posted: DataFrame, fields: list[str]) -> DataFrame:
@@ -80,8 +85,12 @@ def class_features(candidates: DataFrame, classes: DataFrame, items: DataFrame)
 
 
 def filter_features(candidates: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
-    """``f_vid``, ``f_tip``: whether the item has what the query's filters ask for; ``f_rating4_ok``: four stars or unrated."""
-    x = candidates.join(queries.select("query_id", T.parse_query_filters("filters").alias("__f")), "query_id").join(items.select("item_id", F.col("params").alias("__p"), F.col("rating").alias("__r")), "item_id")
+    """``f_vid``, ``f_tip``: whether the item has what the query's filters ask for; ``f_rating4_ok``: four stars or unrated.
+
+    The candidates meet their items before they are spread to ``queries(like, query_id, filters)``.
+    """
+    own = candidates.join(items.select("item_id", F.col("params").alias("__p"), F.col("rating").alias("__r")), "item_id")
+    x = spread(own, queries.select("like", "query_id", T.parse_query_filters("filters").alias("__f")))
     x = x.withColumn("f_vid", T.item_matches(F.col("__f.vid"), F.col("__p"), "vid")).withColumn("f_tip", T.item_matches(F.col("__f.tip"), F.col("__p"), "tip"))
     return x.withColumn("f_rating4_ok", F.when(F.col("__f.rating4"), F.coalesce((F.col("__r") >= 4).cast("double"), F.lit(1.0)))).drop("__f", "__p", "__r")
 

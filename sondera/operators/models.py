@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import prep
 from .split import shuffled
 
 LEFT_OUT = ("query_id", "item_id", "label")
@@ -54,7 +55,7 @@ def train_ranker(table: DataFrame, seed: int = 42, rounds: int = 20) -> Pipeline
     good = table.groupBy("query_id").agg(F.max("label").alias("m")).where("m > 0").select("query_id")
     rows = table.join(good, "query_id", "left_semi").na.fill(-1.0)
     held = (F.pmod(shuffled(F.xxhash64("query_id") % 1000003, seed), F.lit(10)) == 0).alias("held")
-    rows = rows.select("*", held)
+    rows = prep.settled(rows.select("*", held))  # the trees read it many times
     columns = feature_columns(table)
     trees = GBTRegressor(featuresCol="__features", labelCol="label", maxIter=rounds, maxDepth=4, seed=seed)
     if not rows.where("held").isEmpty():  # a table of few queries may have none to decide by

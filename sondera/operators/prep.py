@@ -2,37 +2,64 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Off, tables dealt out by some of their join keys are joined as they lie.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` set to ``value`` for what runs inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir``, for tables that a plan refers to many times; as it is where none is named outside local mode."""
-    context = df.sparkSession.sparkContext
+    """``df`` as Parquet in the folder of ``spark.checkpoint.dir``, for tables that a plan refers to many times; as it is where none is named outside local mode.
+
+    The shuffle files of its plan go when it is written, so the steps of a query do not add up on disk.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local") or context.master.startswith("local-cluster") and not named:
             return df
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sondera-"))
-    return df.checkpoint(eager=True)
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/settled-{uuid.uuid4().hex}"
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def dense_ids(df: DataFrame, order: list[str], bucket: Column, name: str) -> DataFrame:
-    """Ids from 0 in the order of the unique key ``order``, without ranking the table in one task.
+def dense_ids(df: DataFrame, order: list[str], bucket: Column, name: str, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (by default all columns) and ids from 0 in the order of the unique key ``order``, without ranking the table in one task.
 
-    ``bucket`` must not fall along that order. Rows are numbered inside buckets; a bucket's first id is the count of all rows before
-    it, from a table with one row a bucket.
+    ``bucket`` must not fall along that order. Rows are numbered inside buckets and settled, so that what makes them runs once; a
+    bucket's first id is the count of all rows before it, from a table with one row a bucket, which is sent to every task.
     """
-    marked = df.withColumn("__b", bucket)
+    keep = keep or df.columns
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
+    marked = settled(df.withColumn("__b", bucket).withColumn("__i", inside).select(*keep, "__b", "__i"))
     counts = marked.groupBy("__b").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("__b", F.coalesce(before, F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
-    return marked.withColumn("__i", inside).join(starts, "__b").withColumn(name, F.col("__start") + F.col("__i")).drop("__b", "__i", "__start")
+    starts = counts.select(F.col("__b").alias("__at"), F.coalesce(before, F.lit(0)).alias("__start"))
+    return marked.join(F.broadcast(starts), F.col("__b").eqNullSafe(F.col("__at"))).drop("__at").withColumn(name, F.col("__start") + F.col("__i")).drop("__b", "__i", "__start")
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -25,16 +25,23 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lambda name: read(spark, sf_dir, name)
     lines = r("lineitem").select(*ORDER)
     places = r("customer").join(F.broadcast(r("nation").select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey", "c_mktsegment")
-    x = lines.join(r("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("o_custkey") == F.col("c_custkey"))
-    x = x.join(r("part").select("p_partkey", T.normalize("p_name").alias("qn"), "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    x = prep.dense_ids(x, ORDER, F.floor(F.col("l_orderkey") / 50_000), "row_id")
-    return x.select(
-        F.col("row_id").cast("long"), "qn",
+    # the lines are the largest table; they are shuffled by part, and then once by blocks of orders, for their orders and their numbers
+    block = F.floor(F.col("l_orderkey") / 50_000)
+    orders = r("orders").select("o_orderkey", "o_custkey").join(places, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    x = lines.join(r("part").select("p_partkey", T.normalize("p_name").alias("qn"), F.expr(SERVICE_PART).alias("cat")), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    orders = orders.withColumnRenamed("o_orderkey", "l_orderkey").withColumn("block", block)
+    x = x.withColumn("block", block).repartition("block").join(orders.repartition("block"), ["block", "l_orderkey"])
+    x = x.select(
+        *ORDER, "block", "qn",
         F.when(F.col("l_linenumber") % 4 == 0, 1000 + F.col("n_regionkey")).otherwise(F.col("c_nationkey")).cast("int").alias("loc"),
         (F.col("l_linenumber") % 2).cast("int").alias("delivery"),
         F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("filters"),
-        F.expr(SERVICE_PART).alias("cat"), F.col("l_partkey").alias("item_id"),
+        "cat", F.col("l_partkey").alias("item_id"),
     )
+    keep = ["qn", "loc", "delivery", "filters", "cat", "item_id"]
+    with prep.setting(spark, prep.ALL_KEYS, "false"):
+        x = prep.dense_ids(x, ORDER, F.col("block"), "row_id", keep)
+    return x.select(F.col("row_id").cast("long"), *keep)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,8 +127,8 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    log, items = prep.settled(A.pairs(spark, sf)), A.items(spark, sf)
-    before, queries_ = A.past(log), A.asked(log)
+    log, items = A.pairs(spark, sf), A.items(spark, sf)
+    before, queries_ = A.past(log), prep.settled(A.asked(log))
     regions = context.region_locations(before, items)
     zone = context.zones(before, items, regions)
     return {"log": log, "items": items, "past": before, "asked": queries_, "regions": regions, "zone": zone, "local": context.local_pairs(queries_, zone), "popular": context.popularity(before)}
@@ -194,7 +194,7 @@ A.refresh()
 
 
 def _numbered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    log = prep.settled(A.pairs(spark, sf))
+    log = A.pairs(spark, sf)
     keys = prep.number_keys(log, KEY)
     counts = log.groupBy(*KEY).agg(F.count("*").alias("n"))
     flags = keys.join(counts, KEY).withColumn("has_params", (F.col("filters") != "").cast("int")).withColumn("region", (F.col("loc") >= 1000).cast("int"))
@@ -383,20 +383,23 @@ def memory_any(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _neighbours(c: dict[str, DataFrame]) -> DataFrame:
+    """``(text, qn, sim)`` of each different text that is asked."""
     texts = c["past"].select("qn", F.col("qn").alias("text")).distinct()
     known, vocabulary = lexical.char_weights(texts, "qn", 2, 4, min_df=2)
-    return lexical.cosine(lexical.char_query_vectors(c["asked"], vocabulary, 2, 4), known, "query_id", "qn")
+    asked = c["asked"].select(F.col("qn").alias("query_id"), F.col("qn").alias("text")).distinct()
+    return lexical.cosine(lexical.char_query_vectors(asked, vocabulary, 2, 4), known, "query_id", "qn").withColumnRenamed("query_id", "text")
 
 
 @query("SELECT query_id, qn, sim FROM neighbours")
 def text_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return _neighbours(_context(spark, sf))
+    c = _context(spark, sf)
+    return c["asked"].select("query_id", F.col("qn").alias("text")).join(_neighbours(c), "text").select("query_id", "qn", "sim")
 
 
 @query(_top("similar_scored", 300, "local DESC, score DESC, item_id"))
 def similar_queries(spark: SparkSession, sf: str) -> DataFrame:
-    c = _context(spark, sf)
-    return _rounded(C.similar_queries(_neighbours(c), c["past"], c["asked"], c["items"], c["local"], 300))
+    c, members = _once(_context(spark, sf))
+    return fusion.spread(_rounded(C.similar_queries(prep.settled(_neighbours(c)), c["past"], c["asked"], c["items"], c["local"], 300)), members.select("like", "query_id"))
 
 
 @query(f"SELECT item_id, g AS gram, count(*) AS tf FROM (SELECT item_id, unnest({_grams('w', 3, 5)}) AS g FROM (SELECT item_id, unnest({TOKENS('title')}) AS w FROM items)) GROUP BY ALL")
@@ -514,8 +517,19 @@ def _lists(c: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def _once(c: dict[str, DataFrame], *more: Column) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The context with one query, the first, of those that the lists and ``more`` cannot tell apart, and every query with the one that it is ``like``.
+
+    Lists look at a query's text, its place and whether its category is open to all items.
+    """
+    kind = Window.partitionBy("qn", "loc", F.coalesce(F.col("cat") != A.SERVICE, F.lit(False)), *more)
+    members = prep.settled(c["asked"].withColumn("like", F.min("query_id").over(kind)))
+    one = members.where("query_id = like").drop("like")
+    return c | {"asked": one, "local": prep.settled(context.local_pairs(one, c["zone"]))}, members
+
+
 def _pool(c: dict[str, DataFrame], behavioural: set[str] = frozenset({"memory_loc", "memory_any", "popular"})) -> DataFrame:
-    return fusion.pool(_lists(c), DEPTHS, behavioural)
+    return prep.settled(fusion.pool({n: prep.settled(x) for n, x in _lists(c).items()}, DEPTHS, behavioural))
 
 
 A.VIEWS |= {
@@ -528,23 +542,30 @@ A.refresh()
 
 @query("SELECT query_id, item_id, count(*) AS n_sources, " + ", ".join(f"max(CASE WHEN source = '{n}' THEN rank END) AS r_{n}, round(max(CASE WHEN source = '{n}' THEN score END), 9) AS s_{n}" for n in DEPTHS) + " FROM listed GROUP BY query_id, item_id")
 def pool_full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    x = _pool(_context(spark, sf), set())
-    return x.withColumns({f"s_{n}": F.round(f"s_{n}", 9) for n in DEPTHS})
+    one, members = _once(_context(spark, sf))
+    x = _pool(one, set()).withColumns({f"s_{n}": F.round(f"s_{n}", 9) for n in DEPTHS})
+    return fusion.spread(x, members.select("like", "query_id"))
 
 
 @query("SELECT n_sources, count(*) AS candidates FROM pooled GROUP BY 1")
 def n_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return _pool(_context(spark, sf)).groupBy("n_sources").agg(F.count("*").alias("candidates"))
+    one, members = _once(_context(spark, sf))
+    each = _pool(one).groupBy("query_id", "n_sources").agg(F.count("*").alias("n"))
+    return fusion.spread(each, members.select("like", "query_id")).groupBy("n_sources").agg(F.sum("n").alias("candidates"))
 
 
 def _gold(c: dict[str, DataFrame]) -> DataFrame:
     return c["asked"].select("query_id", F.array("item_id").alias("answers"))
 
 
+def _answered(members: DataFrame) -> DataFrame:
+    return members.select("like", "query_id", F.array("item_id").alias("answers"))
+
+
 @query("SELECT p.query_id, p.item_id, CASE WHEN a.item_id = p.item_id THEN 1 ELSE 0 END AS label FROM pooled p JOIN asked a ON a.query_id = p.query_id")
 def label_join(spark: SparkSession, sf: str) -> DataFrame:
-    c = _context(spark, sf)
-    return fusion.with_label(_pool(c), _gold(c)).select("query_id", "item_id", "label")
+    one, members = _once(_context(spark, sf))
+    return fusion.with_label(_pool(one), _answered(members)).select("query_id", "item_id", "label")
 
 
 A.VIEWS |= {
@@ -596,19 +617,21 @@ A.refresh()
 round(coalesce(lp.p, 0.1 / (coalesce((SELECT max(total) FROM loc_p t WHERE t.loc = a.loc), 0) + 10)), 9) AS p_loc FROM pooled p JOIN asked a ON a.query_id = p.query_id JOIN items i ON i.item_id = p.item_id
 LEFT JOIN local l ON l.query_id = p.query_id AND l.item_loc = i.loc LEFT JOIN centroids c ON c.loc = a.loc LEFT JOIN loc_p lp ON lp.loc = a.loc AND lp.item_loc = i.loc""")
 def place_features(spark: SparkSession, sf: str) -> DataFrame:
-    c = _context(spark, sf)
+    c, members = _once(_context(spark, sf))
     p = context.location_probability(c["past"], c["items"])
     totals = c["past"].groupBy("loc").agg(F.count("*").alias("n_loc"))
-    x = fusion.place_features(_pool(c).select("query_id", "item_id"), c["asked"], c["items"], c["local"], context.centroids(c["past"], c["items"], c["regions"]), p.join(totals, "loc"))
-    return x.select("query_id", "item_id", "same_loc", "in_local", "dist_km", "p_loc")
+    around = prep.settled(p.join(totals, "loc")), prep.settled(context.centroids(c["past"], c["items"], c["regions"]))
+    x = fusion.place_features(_pool(c).select("query_id", "item_id"), c["asked"], c["items"], c["local"], around[1], around[0])
+    return fusion.spread(x, members.select("like", "query_id")).select("query_id", "item_id", "same_loc", "in_local", "dist_km", "p_loc")
 
 
 @query("""SELECT p.query_id, p.item_id, round(coalesce(c.p, 0), 9) AS p_microcat, CAST(coalesce(c.r - 1, 999) AS INTEGER) AS microcat_rank FROM pooled p JOIN items i ON i.item_id = p.item_id
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, microcat) AS r FROM class_p ) c ON c.query_id = p.query_id AND c.microcat = i.microcat""")
 def class_features(spark: SparkSession, sf: str) -> DataFrame:
-    c = _context(spark, sf)
+    c, members = _once(_context(spark, sf))
     x = fusion.class_features(_pool(c).select("query_id", "item_id"), _classes(c), c["items"])
-    return x.select("query_id", "item_id", F.round("p_microcat", 9).alias("p_microcat"), "microcat_rank")
+    x = x.select("query_id", "item_id", F.round("p_microcat", 9).alias("p_microcat"), "microcat_rank")
+    return fusion.spread(x, members.select("like", "query_id"))
 
 
 _IT = ["rating", "log_reviews", "has_rating", "log_price", "price_is_1", "price_rel_med", "phone_hidden", "msg_forbidden", "title_words", "desc_words", "params_words", "desc_dup", "title_dup", "emoji_share"]
@@ -616,7 +639,8 @@ _IT = ["rating", "log_reviews", "has_rating", "log_price", "price_is_1", "price_
 
 @query(f"SELECT p.query_id, p.item_id, {', '.join(f's.{c} AS it_{c}' for c in _IT)} FROM pooled p JOIN ({_STATIC}) s ON s.item_id = p.item_id")
 def item_features(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.item_features(_pool(_context(spark, sf)).select("query_id", "item_id"), _static(spark, sf))
+    one, members = _once(_context(spark, sf))
+    return fusion.spread(fusion.item_features(_pool(one).select("query_id", "item_id"), _static(spark, sf)), members.select("like", "query_id"))
 
 
 @query(f"""SELECT query_id, CAST(len({TOKENS('text')}) AS INTEGER) AS q_len, CASE WHEN filters = '' THEN 0 ELSE 1 END AS q_has_filters, CASE WHEN loc IN (SELECT loc FROM regions) THEN 1 ELSE 0 END AS q_region,
@@ -629,9 +653,9 @@ def query_features(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def filter_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Filters of the known form from the log's segments and categories, parsed again and matched with items."""
-    c = _context(spark, sf)
+    c, members = _once(_context(spark, sf))
     made = F.concat(F.lit("Вид услуги "), F.col("cat"), F.lit(" Тип услуги "), F.col("qn"), F.when(F.col("loc") % 2 == 0, F.lit(" Рейтинг пользователя 4 звезды")).otherwise(""))
-    q = c["asked"].withColumn("filters", made)
+    q = members.withColumn("filters", made)
     items = c["items"].withColumn("params", F.concat(F.lit("Вид услуги "), "category", F.lit(" Тип услуги "), T.normalize("title")))
     x = fusion.filter_features(_pool(c).select("query_id", "item_id"), q, items)
     return x.select("query_id", "item_id", "f_vid", "f_tip", "f_rating4_ok")
@@ -702,18 +726,18 @@ def microcat_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _table(c: dict[str, DataFrame], spark: SparkSession, sf: str) -> DataFrame:
-    x = fusion.with_label(_pool(c, {"memory_loc"}), _gold(c))
-    x = fusion.class_features(x, _classes(c), c["items"])
+    x = fusion.class_features(_pool(c, {"memory_loc"}), _classes(c), c["items"])
     x = fusion.item_features(x, _static(spark, sf))
-    return x.join(fusion.query_features(c["asked"], c["past"], c["regions"], A.SERVICE), "query_id")
+    return prep.settled(x.join(fusion.query_features(c["asked"], c["past"], c["regions"], A.SERVICE), "query_id"))
 
 
 @query()
 def gbt_rank(spark: SparkSession, sf: str) -> DataFrame:
-    c = _context(spark, sf)
+    # features see of the filters whether there are any, so queries that are alike have the same scores and differ in their labels
+    c, members = _once(_context(spark, sf), F.coalesce("filters", F.lit("")) != "")
     table = _table(c, spark, sf)
-    scored = models.rank(models.train_ranker(table), table)
-    return C.top(scored, 50)
+    model = models.train_ranker(fusion.with_label(table, _answered(members)))
+    return fusion.spread(C.top(models.rank(model, table), 50), members.select("like", "query_id"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
