@@ -47,6 +47,18 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of the settled tables that ``df`` reads, when what was made of them is settled itself; other tables' files stay."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    own = f"{context._jsc.sc().getCheckpointDir().get()}/settled-".split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(own):
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dense_ids(df: DataFrame, order: list[str], bucket: Column, name: str, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (by default all columns) and ids from 0 in the order of the unique key ``order``, without ranking the table in one task.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,28 +20,49 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _of_parts(lines: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lines`` once for each part of their key, as their inner join has them, and ``part``; ``copy`` tells parts of one key apart.
+
+    The lines stay where they are: only keys that have no part or several, none in a table whose keys are whole, are joined to them.
+    """
+    known = part.groupBy("p_partkey").agg(F.count("*").alias("n"))
+    keys = lines.where("l_partkey is not null").select("l_partkey").distinct()
+    odd = keys.join(known, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_partkey", F.coalesce("n", F.lit(0)).cast("int").alias("n")).where("n <> 1")
+    odd = prep.settled(odd)
+    lines = lines.where("l_partkey is not null")
+    if odd.isEmpty():
+        return lines.withColumn("copy", F.lit(1)), part.withColumn("copy", F.lit(1))
+    lines = lines.join(odd, "l_partkey", "left").where("coalesce(n, 1) > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1))))).drop("n")
+    return lines, part.withColumn("copy", F.row_number().over(Window.partitionBy("p_partkey").orderBy("qn", "cat")))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The click log: row_id, qn, loc, delivery, filters, cat, item_id."""
+    """The click log: row_id, qn, loc, delivery, filters, cat, item_id.
+
+    The lines, the largest table, are shuffled whole once, by blocks of orders, for their orders and their numbers. What is left of them
+    meets the parts' texts after that, so the two shuffles never lie on disk together.
+    """
     r = lambda name: read(spark, sf_dir, name)
-    lines = r("lineitem").select(*ORDER)
+    part = r("part").select("p_partkey", T.normalize("p_name").alias("qn"), F.expr(SERVICE_PART).alias("cat"))
+    lines, part = _of_parts(r("lineitem").select(*ORDER), part)
     places = r("customer").join(F.broadcast(r("nation").select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey", "c_mktsegment")
-    # the lines are the largest table; they are shuffled by part, and then once by blocks of orders, for their orders and their numbers
     block = F.floor(F.col("l_orderkey") / 50_000)
     orders = r("orders").select("o_orderkey", "o_custkey").join(places, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
-    x = lines.join(r("part").select("p_partkey", T.normalize("p_name").alias("qn"), F.expr(SERVICE_PART).alias("cat")), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
     orders = orders.withColumnRenamed("o_orderkey", "l_orderkey").withColumn("block", block)
-    x = x.withColumn("block", block).repartition("block").join(orders.repartition("block"), ["block", "l_orderkey"])
+    x = lines.withColumn("block", block).repartition("block").join(orders.repartition("block"), ["block", "l_orderkey"])
     x = x.select(
-        *ORDER, "block", "qn",
+        *ORDER, "copy", "block",
         F.when(F.col("l_linenumber") % 4 == 0, 1000 + F.col("n_regionkey")).otherwise(F.col("c_nationkey")).cast("int").alias("loc"),
         (F.col("l_linenumber") % 2).cast("int").alias("delivery"),
         F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("filters"),
-        "cat", F.col("l_partkey").alias("item_id"),
+        F.col("l_partkey").alias("item_id"),
     )
-    keep = ["qn", "loc", "delivery", "filters", "cat", "item_id"]
     with prep.setting(spark, prep.ALL_KEYS, "false"):
-        x = prep.dense_ids(x, ORDER, F.col("block"), "row_id", keep)
-    return x.select(F.col("row_id").cast("long"), *keep)
+        numbered = prep.dense_ids(x, [*ORDER, "copy"], F.col("block"), "row_id", ["loc", "delivery", "filters", "item_id", "copy"])
+    numbered = numbered.withColumn("row_id", F.col("row_id").cast("long"))
+    log = prep.settled(numbered.join(part.withColumnRenamed("p_partkey", "item_id"), ["item_id", "copy"]).select("row_id", "qn", "loc", "delivery", "filters", "cat", "item_id"))
+    prep.release(numbered)
+    return log
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
