@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -9,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +94,27 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str = "n") -> D
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(~is_hot), key))
 
 
+def give_back(spark: SparkSession) -> bool:
+    """Return to the system what the driver's two processes hold but do not use, between steps of a long job; True if the JVM could do so too.
+
+    Garbage first; then the C library's free memory, which many short-lived threads and compilers leave scattered.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    try:  # by the interface, as the server's own class is not open to others
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = new_array(jvm.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # not every JVM has the command
+        return False
+    return True
+
+
 def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows; what Arrow holds of those before is given back to the system, as workers outlive their tasks."""
     for batch in source:
