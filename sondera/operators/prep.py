@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import functools
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +18,8 @@ from ..functions import text as T
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Off, tables dealt out by some of their join keys are joined as they lie.
 ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Rows of a large table whose shuffle files may lie on disk at a time; more are taken in passes.
+PASS_ROWS = 9_000_000
 
 
 @contextlib.contextmanager
@@ -29,21 +33,29 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def settled(df: DataFrame) -> DataFrame:
+def passes(df: DataFrame, *keys: str | Column) -> list[Column]:
+    """Conditions that deal ``df``'s rows by a hash of ``keys`` into passes of about PASS_ROWS rows: each row meets one, and rows of equal keys the same."""
+    n = max(1, math.ceil(df.count() / PASS_ROWS))
+    return [F.lit(True)] if n == 1 else [F.pmod(F.xxhash64(*keys), F.lit(n)) == i for i in range(n)]
+
+
+def settled(df: DataFrame, *more: DataFrame) -> DataFrame:
     """``df`` as Parquet in the folder of ``spark.checkpoint.dir``, for tables that a plan refers to many times; as it is where none is named outside local mode.
 
-    The shuffle files of its plan go when it is written, so the steps of a query do not add up on disk.
+    The shuffle files of its plan go when it is written, so the steps of a query do not add up on disk. The rows of ``more``, further
+    passes of the same columns, are written one after the other beside those of ``df``.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local") or context.master.startswith("local-cluster") and not named:
-            return df
+            return functools.reduce(DataFrame.unionByName, more, df)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sondera-"))
     path = f"{context._jsc.sc().getCheckpointDir().get()}/settled-{uuid.uuid4().hex}"
     with setting(spark, CLEANUP, "true"):
-        df.write.parquet(path)
+        for one in (df, *more):
+            one.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,15 +71,15 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def dense_ids(df: DataFrame, order: list[str], bucket: Column, name: str, keep: list[str] | None = None) -> DataFrame:
+def dense_ids(df: DataFrame, order: list[str], bucket: Column, name: str, keep: list[str] | None = None, more: tuple[DataFrame, ...] = ()) -> DataFrame:
     """``keep`` (by default all columns) and ids from 0 in the order of the unique key ``order``, without ranking the table in one task.
 
-    ``bucket`` must not fall along that order. Rows are numbered inside buckets and settled, so that what makes them runs once; a
+    ``bucket`` must not fall along that order. The rows of ``more``, further passes, are those of other buckets. Rows are numbered inside buckets and settled, so that what makes them runs once; a
     bucket's first id is the count of all rows before it, from a table with one row a bucket, which is sent to every task.
     """
     keep = keep or df.columns
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
-    marked = settled(df.withColumn("__b", bucket).withColumn("__i", inside).select(*keep, "__b", "__i"))
+    marked = settled(*[x.withColumn("__b", bucket).withColumn("__i", inside).select(*keep, "__b", "__i") for x in (df, *more)])
     counts = marked.groupBy("__b").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col("__b").alias("__at"), F.coalesce(before, F.lit(0)).alias("__start"))

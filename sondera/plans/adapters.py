@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,7 +40,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The click log: row_id, qn, loc, delivery, filters, cat, item_id.
 
     The lines, the largest table, are shuffled whole once, by blocks of orders, for their orders and their numbers. What is left of them
-    meets the parts' texts after that, so the two shuffles never lie on disk together.
+    meets the parts' texts after that, so the two shuffles never lie on disk together; of many lines, each is done in passes.
     """
     r = lambda name: read(spark, sf_dir, name)
     part = r("part").select("p_partkey", T.normalize("p_name").alias("qn"), F.expr(SERVICE_PART).alias("cat"))
@@ -49,18 +49,24 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.floor(F.col("l_orderkey") / 50_000)
     orders = r("orders").select("o_orderkey", "o_custkey").join(places, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
     orders = orders.withColumnRenamed("o_orderkey", "l_orderkey").withColumn("block", block)
-    x = lines.withColumn("block", block).repartition("block").join(orders.repartition("block"), ["block", "l_orderkey"])
-    x = x.select(
-        *ORDER, "copy", "block",
-        F.when(F.col("l_linenumber") % 4 == 0, 1000 + F.col("n_regionkey")).otherwise(F.col("c_nationkey")).cast("int").alias("loc"),
-        (F.col("l_linenumber") % 2).cast("int").alias("delivery"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("filters"),
-        F.col("l_partkey").alias("item_id"),
-    )
+    lines = lines.withColumn("block", block)
+
+    def placed(one: Column) -> DataFrame:
+        x = lines.where(one).repartition("block").join(orders.where(one).repartition("block"), ["block", "l_orderkey"])
+        return x.select(
+            *ORDER, "copy", "block",
+            F.when(F.col("l_linenumber") % 4 == 0, 1000 + F.col("n_regionkey")).otherwise(F.col("c_nationkey")).cast("int").alias("loc"),
+            (F.col("l_linenumber") % 2).cast("int").alias("delivery"),
+            F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("filters"),
+            F.col("l_partkey").alias("item_id"),
+        )
+
     with prep.setting(spark, prep.ALL_KEYS, "false"):
-        numbered = prep.dense_ids(x, [*ORDER, "copy"], F.col("block"), "row_id", ["loc", "delivery", "filters", "item_id", "copy"])
-    numbered = numbered.withColumn("row_id", F.col("row_id").cast("long"))
-    log = prep.settled(numbered.join(part.withColumnRenamed("p_partkey", "item_id"), ["item_id", "copy"]).select("row_id", "qn", "loc", "delivery", "filters", "cat", "item_id"))
+        first, *more = map(placed, prep.passes(lines, "block"))
+        numbered = prep.dense_ids(first, [*ORDER, "copy"], F.col("block"), "row_id", ["loc", "delivery", "filters", "item_id", "copy"], tuple(more))
+    numbered, part = numbered.withColumn("row_id", F.col("row_id").cast("long")), part.withColumnRenamed("p_partkey", "item_id")
+    columns = ["row_id", "qn", "loc", "delivery", "filters", "cat", "item_id"]
+    log = prep.settled(*[numbered.where(one).join(part.where(one), ["item_id", "copy"]).select(*columns) for one in prep.passes(numbered, "item_id")])
     prep.release(numbered)
     return log
 

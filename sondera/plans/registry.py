@@ -529,7 +529,9 @@ def _once(c: dict[str, DataFrame], *more: Column) -> tuple[dict[str, DataFrame],
 
 
 def _pool(c: dict[str, DataFrame], behavioural: set[str] = frozenset({"memory_loc", "memory_any", "popular"})) -> DataFrame:
-    return prep.settled(fusion.pool({n: prep.settled(x) for n, x in _lists(c).items()}, DEPTHS, behavioural))
+    # what was chosen at each place is as long as the log; a query's list needs no other texts and places than its own
+    at_places = lambda: prep.settled(*[C.memory_same_place(c["past"].where(one), c["asked"], c["items"], 300) for one in prep.passes(c["past"], "qn", "loc")])
+    return prep.settled(fusion.pool({n: at_places() if n == "memory_loc" else prep.settled(x) for n, x in _lists(c).items()}, DEPTHS, behavioural))
 
 
 A.VIEWS |= {
