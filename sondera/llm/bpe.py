@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, unit_hash
+from .common import batches, collect_garbage, unit_hash
 
 #: Characters of text in a block, words of one row, characters of one batch, and rarer words that a task knows before it forgets them.
-BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS, KNOWN_WORDS = 8_000_000, 512, 2_000_000, 60_000
+BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS, KNOWN_WORDS = 4_000_000, 512, 1_000_000, 120_000
 #: Words that are folded once for the whole table: the most frequent of about so many sampled rows, of at most so many bytes.
 COMMON_WORDS, SAMPLED_ROWS, COMMON_BYTES = 1 << 17, 20_000, 64
 #: The fold takes time in the square of a word's length: longer words (in bytes) are merged by the same rule with a heap.
@@ -261,6 +261,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
     the same rule with a heap. ``sampled`` has the same rows, where it is cheaper to read them than to make ``docs`` twice.
     """
     shared, name = docs.sparkSession.sparkContext.broadcast(common_words(docs if sampled is None else sampled, ranks, pattern)), uuid.uuid4().hex
+    collect_garbage(docs.sparkSession)  # of the fold of the frequent words and of what ran before
     keys = [pa.field(k, pa.int64()) for k in keep]
     row = pa.schema([pa.field("kind", pa.int32()), *keys, pa.field("text", pa.string()), pa.field("words", pa.list_(pa.string()))])
     none = [None] * len(keep)

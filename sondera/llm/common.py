@@ -94,15 +94,38 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str = "n") -> D
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(~is_hot), key))
 
 
+def trim() -> None:
+    """Return to the system what this process's Arrow and C library hold but do not use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Garbage collection in the executors' JVMs, by a task for each of their cores: a heap that an earlier step has grown goes back to the system but for what lives."""
+    n = parallelism(spark)
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for what runs inside: JVM and Python hold each whole, several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def give_back(spark: SparkSession) -> bool:
     """Return to the system what the driver's two processes hold but do not use, between steps of a long job; True if the JVM could do so too.
 
     Garbage first; then the C library's free memory, which many short-lived threads and compilers leave scattered.
     """
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
     jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
     jvm.System.gc()
     try:  # by the interface, as the server's own class is not open to others
@@ -116,9 +139,10 @@ def give_back(spark: SparkSession) -> bool:
 
 
 def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches that have rows; what Arrow holds of those before is given back to the system, as workers outlive their tasks."""
+    """The batches that have rows; what Arrow holds of those before is given back to the system, and at the end what the C library holds, as workers outlive their tasks."""
     for batch in source:
         if batch.num_rows:
             yield batch
         del batch
         pa.default_memory_pool().release_unused()
+    trim()

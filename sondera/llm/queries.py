@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, langid, licenses, linededup, mixing, pii, quality, simhash, topk
-from .common import table
+from .common import batches_of, cut, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
+#: Whole texts in an Arrow batch of the encoding.
+BATCH_ROWS = 500
 
 
 def tokenizer(ranks_path: str | None = None) -> tuple[dict[bytes, int], str]:
@@ -33,7 +35,8 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer()
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern), ranks)
+    with batches_of(spark, BATCH_ROWS):  # the digests are small, so they are made here, where the batches are
+        return cut(bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern), ranks))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

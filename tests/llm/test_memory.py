@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 import corpus_pipeline
+from sondera.llm import queries
 from sondera.llm.common import give_back
 
 
@@ -21,3 +22,12 @@ def test_every_stage_gives_back_before_and_after(monkeypatch):
     stage = corpus_pipeline.lean(lambda spark, docs, sf_dir: said.append("stage") or docs)
     assert stage("spark", "docs", "sf") == "docs" and said == ["back", "stage", "back"]
     assert all(hasattr(f, "__wrapped__") for _, f in corpus_pipeline.STAGES)
+
+
+def test_bpe_takes_texts_in_small_batches(spark, data, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    monkeypatch.setattr(queries, "cut", lambda df, own=queries.cut: seen.append(int(spark.conf.get(key))) or own(df))
+    out = queries.op3_byte_bpe(spark, data)
+    assert seen == [queries.BATCH_ROWS] and spark.conf.get(key) == before
+    assert out.count() == spark.read.parquet(f"{data}/documents.parquet").count()
