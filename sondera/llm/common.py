@@ -120,12 +120,13 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def give_back(spark: SparkSession) -> bool:
-    """Return to the system what the driver's two processes hold but do not use, between steps of a long job; True if the JVM could do so too.
+    """Return to the system what the driver's two processes and the executors' JVMs hold but do not use, between steps of a long job; True if the driver's JVM could do so too.
 
-    Garbage first; then the C library's free memory, which many short-lived threads and compilers leave scattered.
+    Garbage first; then, in the driver, the C library's free memory, which many short-lived threads and compilers leave scattered.
     """
     gc.collect()
     trim()
+    collect_garbage(spark)
     jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
     jvm.System.gc()
     try:  # by the interface, as the server's own class is not open to others

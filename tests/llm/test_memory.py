@@ -24,6 +24,19 @@ def test_every_stage_gives_back_before_and_after(monkeypatch):
     assert all(hasattr(f, "__wrapped__") for _, f in corpus_pipeline.STAGES)
 
 
+def test_executors_give_memory_back_too(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("gives-back", "")
+    try:
+        collections = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+        before = collections()
+        assert give_back(spark) and collections() - before > sc.defaultParallelism  # one of the driver's own, the others by tasks
+        jobs = sc.statusTracker().getJobIdsForGroup("gives-back")
+        assert jobs and sc.statusTracker().getStageInfo(sc.statusTracker().getJobInfo(jobs[0]).stageIds[0]).numTasks == sc.defaultParallelism
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_bpe_takes_texts_in_small_batches(spark, data, monkeypatch):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before, seen = spark.conf.get(key), []
