@@ -1,5 +1,7 @@
 """Long tables are taken in passes, so that their shuffle files never lie on disk all together; the rows are the same."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,3 +31,14 @@ def test_passes_share_out_every_row_once(spark, monkeypatch):
     assert all(not {r.k for r in a} & {r.k for r in b} for i, a in enumerate(shares) for b in shares[:i])
     assert prep.settled(*[x.where(one) for one in prep.passes(x, "k")]).count() == 100
     assert len(prep.passes(x.limit(30), "k")) == 1
+
+
+def test_settled_tables_are_packed(spark):
+    n = 200_000
+    place = spark.range(0, n, 1, 1).select((F.col("id") % 50_000).cast("int").alias("__i"), F.when(F.col("id") % 10 != 0, F.col("id") * 7 % n).alias("row_id"), F.concat(F.lit("text "), F.col("id") % 100).alias("qn"), F.array("id").alias("a"))
+    kept = prep.settled(place, place.where("__i < 3"))
+    files = [f.split(":", 1)[-1].replace("///", "/") for f in kept.select("__i", "row_id", "qn").inputFiles()]
+    assert sorted(kept.collect()) == sorted(place.collect() + place.where("__i < 3").collect())
+    numbers = prep.settled(place.select("__i", "row_id"))
+    size = sum(os.path.getsize(f.split(":", 1)[-1].replace("///", "/")) for f in numbers.inputFiles())
+    assert len(files) == 2 and size < 4 * n  # 8 bytes and more of a place and an id, plain
