@@ -11,6 +11,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .common import batches, collect_garbage, unit_hash
 #: Characters of text in a block, words of one row, characters of one batch, and rarer words that a task knows before it forgets them.
 BLOCK_CHARS, WORDS_A_ROW, BATCH_CHARS, KNOWN_WORDS = 4_000_000, 512, 1_000_000, 120_000
 #: Words that are folded once for the whole table: the most frequent of about so many sampled rows, of at most so many bytes.
-COMMON_WORDS, SAMPLED_ROWS, COMMON_BYTES = 1 << 17, 20_000, 64
+COMMON_WORDS, SAMPLED_ROWS, COMMON_BYTES = 1 << 18, 20_000, 64
 #: The fold takes time in the square of a word's length: longer words (in bytes) are merged by the same rule with a heap.
 FOLDED_BYTES = 16_384
 #: Bits of an id and of a place in a word; the rank of what has none, above all ids.
@@ -310,7 +311,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
             for i, text in enumerate(got.column(got.num_columns - 1)):
                 text = text.as_py() or ""
                 words = split(text)
-                distinct.update((w, None) for w in words if w not in known and w not in seen)
+                distinct.update(dict.fromkeys(filterfalse(seen.__contains__, filterfalse(known.__contains__, words))))
                 texts.append((1, *(c[i] for c in ids), _MARK.join(words), None) if _MARK not in text else (3, *(c[i] for c in ids), text, None))
                 held += len(text)
                 if held >= BLOCK_CHARS:

@@ -510,3 +510,13 @@ def test_fold_gives_tokens_that_merges_do_not_reach(spark):
     rows = spark.createDataFrame([(words,)], "words array<string>").select(bpe.fold_words(F.col("words"), ranks).alias("ids")).first().ids
     assert rows == [bpe.merge_with_heap(w.encode(), ranks) for w in words]
     assert rows[0] == [258] and rows[1] == [120, 121, 122, 122] and rows[2] == [257, 97]
+
+
+def test_frequent_words_of_a_table_are_folded_once(spark, monkeypatch):
+    """Words that come again in every partition are shared, so that no task folds them; 200,000 words are not too many."""
+    ranks, pattern = tokenizer()
+    spelled = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    text = "".join(f" {spelled(i)}" for i in range(200_000))
+    monkeypatch.setattr(bpe, "fold_words", lambda words, _: F.transform(words, lambda w: F.array(F.length(w))))
+    shared = bpe.opened("test", lambda: bpe.common_words(spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string"), ranks, pattern))
+    assert len(shared) == 200_000 and set(shared) == {f" {spelled(i)}" for i in range(200_000)}
